@@ -58,6 +58,12 @@ CORPUS_COLUMNS = (
 )
 
 
+def spread_small(frame: DataFrame) -> DataFrame:
+    """Spread an input of fewer files than cores; large inputs keep their splits."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -68,7 +74,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         CORPUS_SQL.replace("FROM orders JOIN", "FROM {orders} AS orders JOIN")
         .replace("JOIN customer ON", "JOIN {customer} AS customer ON")
         .replace("JOIN nation ON", "JOIN {nation} AS nation ON"),
-        orders=table(spark, sf_dir, "orders"),
+        orders=spread_small(table(spark, sf_dir, "orders")),
         customer=table(spark, sf_dir, "customer"),
         nation=table(spark, sf_dir, "nation"),
     )

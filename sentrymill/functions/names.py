@@ -2,43 +2,40 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import names as N
-from .matching import any_word_in, matches, replace_all, squeeze, strip, through
+from .matching import any_word_in, matches, replace_all, split_words, squeeze, strip, through
 from .text import is_upper
 
-_EDGE = "[" + re.escape(N.EDGE_CHARS) + "]"
-
-
 def _strip_edges(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{_EDGE}+|{_EDGE}+$", "")
+    return F.btrim(col, F.lit(N.EDGE_CHARS))
 
 
 def words(col: Column) -> Column:
-    return F.filter(F.split(F.lower(col), r"(?U)\s+"), lambda w: w != "")
+    """Lower-cased words; one empty word for blank text."""
+    return split_words(F.lower(col))
+
+
+def _plausible(name: Column, w: Column) -> Column:
+    capital = F.rlike(name, F.lit(r"(?U)\b[A-Z][A-Za-z0-9&._-]*\b|[A-Z]{2,}|^\p{Lu}"))
+    return (
+        (name != "")
+        & ~any_word_in(w, N.ACTION_WORDS)
+        & ~((F.size(w) >= 3) & F.coalesce(F.try_element_at(w, F.lit(-1)).isin(N.GENERIC_TAIL_WORDS), F.lit(False)))
+        & ~F.contains(name, F.lit(":"))
+        & ~F.coalesce(F.get(w, F.lit(0)).isin(N.BAD_FIRST_WORDS), F.lit(False))
+        & capital
+    )
 
 
 def plausible_org(col: Column) -> Column:
     """Looks like a name: no action words, no generic tail, no colon, some capital."""
-    def test(v: Column) -> Column:
-        w, name = v["w"], v["name"]
-        capital = F.rlike(name, F.lit(r"(?U)\b[A-Z][A-Za-z0-9&._-]*\b|[A-Z]{2,}|^\p{Lu}"))
-        return (
-            (F.size(w) > 0)
-            & ~any_word_in(w, N.ACTION_WORDS)
-            & ~((F.size(w) >= 3) & F.coalesce(F.try_element_at(w, F.lit(-1)).isin(N.GENERIC_TAIL_WORDS), F.lit(False)))
-            & ~F.contains(name, F.lit(":"))
-            & ~F.coalesce(F.get(w, F.lit(0)).isin(N.BAD_FIRST_WORDS), F.lit(False))
-            & capital
-        )
     return F.coalesce(through(
         strip(squeeze(col)),
-        lambda n: F.struct(words(n).alias("w"), n.alias("name")),
-        test,
+        lambda n: F.struct(n.alias("n"), words(n).alias("w")),
+        lambda v: _plausible(v["n"], v["w"]),
     ), F.lit(False))
 
 
@@ -46,19 +43,33 @@ def plausible_org(col: Column) -> Column:
 _SENTENCE_CUT = r"\.*\.\s+(?:" + "|".join(N.SENTENCE_STARTERS) + r")\b.*$"
 _CLAUSE_CUT = r"(?s)\s+(?:" + "|".join(N.CLAUSE_BOUNDARY) + r")\b.*$"
 _CATEGORY = (r"^(?:(?:[A-Za-z][A-Za-z0-9&._-]*\s+){0,2}(?:" + "|".join(N.CATEGORY_PREFIX) + r")\s+)(?=[A-Z])")
+
+
+def clean_edges_and_clauses(col: Column) -> Column:
+    """The rewriting part of the cleaner."""
+    text = strip(squeeze(_strip_edges(col)))
+    text = replace_all(text, r"^the\s+")
+    text = replace_all(text, _SENTENCE_CUT)
+    text = strip(replace_all(text, _CLAUSE_CUT))
+    text = _strip_edges(squeeze(text))
+    text = strip(replace_all(text, _CATEGORY))
+    return strip(F.regexp_replace(text, "(?U)" + N.TRAILING_LOWER, "$1"))
+
+
+def name_if_usable(v: Column) -> Column:
+    """The deciding part: struct(n, w) to the name or null."""
+    name, w = v["n"], v["w"]
+    return F.when(
+        (F.length(name) >= N.NAME_MIN_CHARS)
+        & ~F.lower(name).isin(N.BLOCKED_NAMES)
+        & (F.size(w) <= N.NAME_MAX_WORDS)
+        & _plausible(name, w), name)
+
+
 CLEANING_STEPS = (
-    lambda t: strip(squeeze(_strip_edges(t))),
-    lambda t: replace_all(t, r"^the\s+"),
-    lambda t: replace_all(t, _SENTENCE_CUT),
-    lambda t: strip(replace_all(t, _CLAUSE_CUT)),
-    lambda t: _strip_edges(squeeze(t)),
-    lambda t: strip(replace_all(t, _CATEGORY)),
-    lambda t: strip(F.regexp_replace(t, "(?U)" + N.TRAILING_LOWER, "$1")),
-    lambda t: F.when(
-        (F.length(t) >= N.NAME_MIN_CHARS)
-        & ~F.lower(t).isin(N.BLOCKED_NAMES)
-        & (F.size(words(t)) <= N.NAME_MAX_WORDS)
-        & plausible_org(t), t),
+    clean_edges_and_clauses,
+    lambda n: F.struct(n.alias("n"), words(n).alias("w")),
+    name_if_usable,
 )
 
 
@@ -78,14 +89,11 @@ def generic_descriptor(col: Column) -> Column:
 
 def org_key(col: Column) -> Column:
     """Normalised name; the key that clusters articles."""
-    return F.nullif(through(
-        F.lower(strip(col)),
-        lambda t: F.replace(F.replace(t, F.lit("-"), F.lit(" ")), F.lit("&"), F.lit(" and ")),
-        lambda t: F.regexp_replace(t, r"(?U)'s\b", ""),
-        lambda t: F.regexp_replace(t, r"(?U)[^a-z0-9\s]", " "),
-        lambda t: F.regexp_replace(t, r"(?U)\b(?:" + "|".join(N.LEGAL_FORMS) + r")\b", ""),
-        lambda t: strip(squeeze(t)),
-    ), F.lit(""))
+    text = F.replace(F.replace(F.lower(strip(col)), F.lit("-"), F.lit(" ")), F.lit("&"), F.lit(" and "))
+    text = F.regexp_replace(text, r"(?U)'s\b", "")
+    text = F.regexp_replace(text, r"(?U)[^a-z0-9\s]", " ")
+    text = F.regexp_replace(text, r"(?U)\b(?:" + "|".join(N.LEGAL_FORMS) + r")\b", "")
+    return F.nullif(strip(squeeze(text)), F.lit(""))
 
 
 def org_acronym(col: Column) -> Column:
@@ -106,13 +114,12 @@ def advisory_vendor(title: Column) -> Column:
             | F.lower(second).isin(N.VENDOR_STOP_WORDS)
         )
         return (
-            F.when(F.size(w) == 0, F.lit(None).cast("string"))
+            F.when(first == "", F.lit(None).cast("string"))
             .when(is_upper(first) & (F.length(first) >= 3), first)
             .when(second.isNull() | product_code | (F.lower(second) == F.lower(first)), first)
             .otherwise(F.concat(first, F.lit(" "), second))
         )
-    tokens = F.filter(F.split(title, r"(?U)\s+"), lambda x: x != "")
-    return F.when(title.isNotNull(), F.coalesce(through(tokens, pick), title))
+    return F.when(title.isNotNull(), F.coalesce(through(split_words(title), pick), title))
 
 
 def clean_anchor(col: Column) -> Column:

@@ -13,9 +13,7 @@ from ..rules import names as N
 from ..rules import places as P
 from ..rules import registry as G
 from ..rules import sectors as S
-from .matching import (
-    any_substring, blank_to_null, extract_all, replace_all, squeeze, strip, through,
-)
+from .matching import any_substring, extract_all, rstrip, split_words, squeeze, strip, through
 
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
 
@@ -98,7 +96,7 @@ _ENDS_SENTENCE = r"[.!?][\"')]?\s*$"
 # Longest prefix that ends a sentence: the full stop is followed by a capital and the
 # word in front is neither an initial nor a listed abbreviation.
 _LAST_SENTENCE = (
-    r"(?sU)^(.*(?<!\b(?:(?i:" + "|".join(N.ABBREVIATIONS) + r")|\p{Lu})\s{0,1})"
+    r"(?sU)^(.*(?=[.!?])(?<!\b(?:(?i:" + "|".join(N.ABBREVIATIONS) + r")|\p{Lu})\s{0,1})"
     r"[.!?][\"')]?)(?=\s+[A-Z])"
 )
 
@@ -110,14 +108,9 @@ def trim_to_sentence(col: Column) -> Column:
 
 def clean_summary(col: Column) -> Column:
     """Drop trailing ellipses, squeeze and cut to complete sentences; null if nothing is left."""
-    return F.nullif(through(
-        col,
-        strip,
-        lambda t: strip(F.regexp_replace(t, r"(?U)\s*\[\.\.\.\]\s*$", "")),
-        lambda t: strip(F.regexp_replace(t, r"(?U)\s*(?:\.{2,}|…)\s*$", "")),
-        lambda t: strip(squeeze(t)),
-        trim_to_sentence,
-    ), F.lit(""))
+    text = strip(F.regexp_replace(strip(col), r"\[\.\.\.\]$", ""))
+    text = strip(F.regexp_replace(text, r"(?:\.{2,}|…)$", ""))
+    return F.nullif(through(squeeze(text), trim_to_sentence), F.lit(""))
 
 
 def short_event_summary(summary: Column, content: Column) -> Column:
@@ -132,11 +125,7 @@ def advisory_summary(title: Column, summary: Column) -> Column:
     """First sentence of an advisory text without its label, else a template."""
     def pick(text: Column) -> Column:
         return strip(F.regexp_extract(text, _LEADING_SENTENCE, 0))
-    first = through(
-        clean_html(summary),
-        lambda t: strip(squeeze(F.regexp_replace(t, r"(?iU)^\s*View CSAF Summary\s*", ""))),
-        pick,
-    )
+    first = pick(strip(squeeze(F.regexp_replace(clean_html(summary), r"(?iU)^\s*View CSAF Summary\s*", ""))))
     return F.when(F.length(first) >= 40, first).otherwise(
         F.concat(title, F.lit(" vulnerability advisory from CISA.")))
 
@@ -161,7 +150,7 @@ def catalogue_title(display: Column, vulnerability: Column, cve: Column) -> Colu
 def catalogue_summary(display: Column, cve: Column, description: Column) -> Column:
     text = strip(squeeze(description))
     parts = F.regexp_extract_all(text, F.lit(_LEADING_SENTENCE), F.lit(0))
-    cut = F.regexp_replace(F.substring(text, 1, 320), r"(?U)\s+$", "")
+    cut = rstrip(F.substring(text, 1, 320))
     at_word = F.when(F.contains(cut, F.lit(" ")), F.regexp_replace(cut, r"(?s) [^ ]*$", "")).otherwise(cut)
     return (
         F.when(text == "", F.concat(display, F.lit(" was added to the CISA KEV catalog under "), cve, F.lit(".")))
@@ -189,8 +178,7 @@ def company_case(col: Column) -> Column:
             .when(~is_upper(v["bare"]) | ~F.rlike(v["bare"], F.lit(r"^\p{L}+$")) | (F.length(v["bare"]) <= 3), v["w"])
             .otherwise(_title_word(v["w"])),
         )
-    words = F.filter(F.split(squeeze(strip(col)), " "), lambda w: w != "")
-    return F.when(col == "", col).otherwise(F.array_join(F.transform(words, one), " "))
+    return F.when(col == "", col).otherwise(F.array_join(F.transform(split_words(col), one), " "))
 
 
 def _title_word(word: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import (
     JAVA_UNICODE, any_substring, extract_all, extract_first, first_label, first_regex_label,
-    matches, replace_all, strip, through,
+    matches, no_strings, replace_all, sql_text, strip, through,
 )
 from ..functions.names import (
     advisory_vendor, clean_anchor, clean_org, generic_descriptor, org_key, starts_upper, words,
@@ -28,15 +28,16 @@ def industry_from_name(victim: Column) -> Column:
     return F.when(victim.isNotNull(), first_label(F.lower(victim), S.INDUSTRY_BY_NAME))
 
 
-def industry_from_text(lead: Column) -> Column:
+def industry_from_text(lead: Column | str) -> Column:
+    attacked = any_substring(lead, ["attack"]) & matches(lead, r"attacks?\s+(?:on|against)\s", JAVA_UNICODE)
     return F.coalesce(
-        F.when(F.contains(lead, F.lit("attack")), first_regex_label(lead, S.INDUSTRY_BY_TARGET)),
+        F.when(attacked, first_regex_label(lead, S.INDUSTRY_BY_TARGET, JAVA_UNICODE)),
         first_label(lead, S.INDUSTRY_KEYWORDS),
-        first_regex_label(lead, S.ORGANISATION_TYPES),
+        first_regex_label(lead, S.ORGANISATION_TYPES, JAVA_UNICODE),
     )
 
 
-def industry(victim: Column, lead: Column) -> Column:
+def industry(victim: Column, lead: Column | str) -> Column:
     """Own name first, then the lead text; a named victim is never without a sector."""
     return F.coalesce(
         industry_from_name(victim),
@@ -47,68 +48,71 @@ def industry(victim: Column, lead: Column) -> Column:
 
 
 # -- geography -------------------------------------------------------------------------
-def _country_table() -> Column:
-    return F.array(*[
-        F.struct(F.lit(term).alias("term"), F.lit(country).alias("country"), F.lit(region).alias("region"))
-        for terms, country, region in P.COUNTRY_TERMS for term in terms
-    ])
+_COUNTRY_TABLE = "array(" + ",".join(
+    f"struct({sql_text(term)} AS term, {sql_text(country)} AS country, {sql_text(region)} AS region)"
+    for terms, country, region in P.COUNTRY_TERMS for term in terms) + ")"
 
 
-def country_in(text: Column) -> Column:
-    """(country, region) of the first country term in list order, else null."""
-    return through(text, lambda t: F.get(
-        F.filter(_country_table(), lambda r: F.contains(t, r["term"])), F.lit(0)))
+def countries_in(texts: Column) -> Column:
+    """(country, region) of each text that names a country: first term in list order."""
+    hits = F.transform(texts, lambda t: F.get(
+        F.filter(F.expr(_COUNTRY_TABLE), lambda r: F.contains(t, r["term"])), F.lit(0)))
+    return F.filter(hits, lambda h: h.isNotNull())
 
 
-def _place(hit: Column) -> Column:
+def _first_place(hits: Column) -> Column:
+    hit = F.get(hits, F.lit(0))
     return F.when(hit.isNotNull(), F.struct(hit["country"].alias("country"), hit["region"].alias("region")))
 
 
-def without_audience(text: Column) -> Column:
-    return replace_all(text, P.AUDIENCE_PHRASE)
+def without_audience(text: Column | str) -> Column:
+    return replace_all(text, P.AUDIENCE_PHRASE, flags=JAVA_UNICODE)
 
 
-def target_spans(text: Column) -> Column:
+def target_spans(text: Column | str) -> Column:
     """What follows attack, target, campaign and based-in phrases, in phrase order."""
-    spans = F.flatten(F.array(*[extract_all(text, p) for p in P.TARGET_PHRASES]))
-    spans = F.filter(F.transform(spans, strip), lambda s: (s != "") & ~matches(s, P.LANGUAGE_SOFTWARE))
+    spans = F.flatten(F.array(*[
+        F.when(any_substring(text, anchors), extract_all(text, p, flags=JAVA_UNICODE)).otherwise(no_strings())
+        for p, anchors in P.TARGET_PHRASES]))
+    spans = F.filter(F.transform(spans, strip), lambda s: (s != "") & ~matches(s, P.LANGUAGE_SOFTWARE, JAVA_UNICODE))
     return F.transform(spans, lambda s: strip(without_audience(s)))
 
 
-def place_by_target(text: Column) -> Column:
-    hits = F.filter(F.transform(target_spans(text), country_in), lambda h: h.isNotNull())
-    return _place(F.get(hits, F.lit(0)))
-
-
-def place_by_lead(lead: Column) -> Column:
-    return _place(country_in(without_audience(lead)))
+def region_by_lead(lead: Column) -> Column:
+    region = first_label(lead, P.REGION_TERMS)
+    return through(region, lambda r: F.when(
+        r.isNotNull(), F.struct(F.lit(None).cast("string").alias("country"), r.alias("region"))))
 
 
-def place_by_nationality(text: Column) -> Column:
-    spans = F.filter(F.transform(extract_all(text, P.NATIONALITY_PHRASE), strip),
-                     lambda s: ~any_substring(s, P.NATIONALITY_ACTOR_WORDS))
-    hits = F.filter(F.transform(spans, country_in), lambda h: h.isNotNull())
-    return _place(F.get(hits, F.lit(0)))
+def nationality_spans(text: Column | str) -> Column:
+    spans = F.when(any_substring(text, [" is a"]) | matches(text, r"\bis\s+an?\s", JAVA_UNICODE),
+                   extract_all(text, P.NATIONALITY_PHRASE, flags=JAVA_UNICODE)).otherwise(no_strings())
+    return F.filter(F.transform(spans, strip), lambda s: ~any_substring(s, P.NATIONALITY_ACTOR_WORDS))
 
 
-def region_by_lead(lead: Column) -> Column:
-    region = first_label(without_audience(lead), P.REGION_TERMS)
-    return F.when(region.isNotNull(), F.struct(F.lit(None).cast("string").alias("country"), region.alias("region")))
+def place_by_lead(lead: Column | str) -> Column:
+    """Country named in lower-cased title and summary, audience phrases aside."""
+    return _first_place(countries_in(F.array(without_audience(lead))))
 
 
-def geography(text: Column, lead: Column) -> Column:
+def geography(text: Column | str, lead: Column | str) -> Column:
     """struct(country, region): target phrase, lead, nationality, region word."""
-    return F.coalesce(place_by_target(text), place_by_lead(lead), place_by_nationality(text), region_by_lead(lead))
+    return F.coalesce(
+        _first_place(countries_in(target_spans(text))),
+        place_by_lead(lead),
+        _first_place(countries_in(nationality_spans(text))),
+        region_by_lead(without_audience(lead)),
+    )
 
 
 # -- attack type --------------------------------------------------------------------------
-def attack_type(text: Column, lead: Column, title: Column, is_activity: Column) -> Column:
+def attack_type(text: str, lead: str, title: str, is_activity: Column, no_defence: str) -> Column:
+    """Attack label of an article; the arguments name its working-text columns."""
     guards = {
         "activity": F.coalesce(is_activity, F.lit(False)),
         "title_breach": any_substring(title, S.TITLE_BREACH),
         "title_wiper": any_substring(title, S.TITLE_WIPER),
     }
-    no_defence = F.when(F.contains(text, F.lit("anti-ransomware")), replace_all(text, S.ANTI_RANSOMWARE)).otherwise(text)
     scopes = {"text": text, "lead": lead, "ransom": no_defence}
     chain = None
     for label, scope, terms, off in S.ATTACK_RULES:
@@ -123,6 +127,12 @@ def attack_type(text: Column, lead: Column, title: Column, is_activity: Column)
 
 
 # -- anchor -----------------------------------------------------------------------------------
+def without_defence(text: str) -> Column:
+    """Text without "anti-ransomware", which is no sign of an attack."""
+    return F.when(F.contains(F.col(text), F.lit("anti-ransomware")),
+                  replace_all(text, S.ANTI_RANSOMWARE, flags=JAVA_UNICODE)).otherwise(F.col(text))
+
+
 def flaw_subject(title: Column) -> Column:
     """Product named by "... flaw" headlines; case-sensitive."""
     return F.when(F.contains(title, F.lit("flaw")), F.coalesce(
@@ -178,13 +188,14 @@ def extract_signals(prepared: DataFrame) -> DataFrame:
     """
     c = F.col
     activity = F.coalesce(c("signal_kind") == "activity", F.lit(False))
-    base = prepared.withColumn("victim0", F.when(~activity, c("victim_named")))
+    base = prepared.withColumns({
+        "victim0": F.when(~activity, c("victim_named")), "text_attack": without_defence("text_all")})
     staged = base.withColumns({
-        "industry0": industry(c("victim0"), c("text_lead")),
-        "attack_type": attack_type(c("text_all"), c("text_lead"), c("text_title"), activity),
+        "industry0": industry(c("victim0"), "text_lead"),
+        "attack_type": attack_type("text_all", "text_lead", "text_title", activity, "text_attack"),
         "anchor": event_anchor(c("title"), c("summary"), c("victim0"), c("source_name")),
         # Without a named victim a place is incidental, so it is not even looked for.
-        "place": F.when(c("victim0").isNotNull(), geography(c("text_all"), c("text_lead"))),
+        "place": F.when(c("victim0").isNotNull(), geography("text_all", "text_lead")),
         "event_signal_type": F.coalesce(c("signal_kind"), F.lit("incident")),
         "short_event_summary": short_event_summary(c("summary"), c("content")),
     })
@@ -227,7 +238,8 @@ def extract_signals(prepared: DataFrame) -> DataFrame:
                            F.lit("Technology")).otherwise(c("industry0")),
         "place": place,
     }).withColumns({"country": c("place.country"), "region": c("place.region")}).drop(
-        "victim0", "industry0", "anchor", "promotable", "promoted", "label0", "label1", "catalogue_vendor", "place")
+        "victim0", "industry0", "anchor", "promotable", "promoted", "label0", "label1", "catalogue_vendor", "place",
+        "text_attack")
 
 
 def guarded_actor(victim: Column, actor: Column, actor_kind: Column, status: Column) -> dict[str, Column]:

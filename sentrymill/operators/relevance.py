@@ -9,18 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import any_substring, matches, strip
+from ..functions.matching import JAVA_UNICODE, any_substring, matches, strip
 from ..functions.text import combined_text, lead_text
 from ..rules import relevance as R
 from .victim import with_named_victim
 
 
-def exploitation_signal(text: Column) -> Column:
-    return any_substring(text, R.EXPLOITATION_ANCHORS) & matches(text, R.EXPLOITATION_SIGNAL)
+def exploitation_signal(text: Column | str) -> Column:
+    """Lower-cased text describes an intrusion or an exploit."""
+    return any_substring(text, R.EXPLOITATION_ANCHORS) & matches(text, R.EXPLOITATION_SIGNAL, JAVA_UNICODE)
 
 
-def direct_attack(lead: Column) -> Column:
-    return any_substring(lead, R.DIRECT_ATTACK_ANCHORS) & matches(lead, R.DIRECT_ATTACK)
+def direct_attack(lead: Column | str) -> Column:
+    return any_substring(lead, R.DIRECT_ATTACK_ANCHORS) & matches(lead, R.DIRECT_ATTACK, JAVA_UNICODE)
 
 
 def with_texts(articles: DataFrame) -> DataFrame:
@@ -40,8 +41,8 @@ def decision_rule(rules=R) -> Column:
     changed rule set can be tried before it is adopted.
     """
     c = F.col
-    text, lead, title, victim = c("text_all"), c("text_lead"), c("text_title"), c("victim_named")
-    exploit = F.contains(lead, F.lit("exploit"))
+    text, lead, title, victim = "text_all", "text_lead", "text_title", c("victim_named")
+    exploit = F.contains(c(lead), F.lit("exploit"))
     evidence = F.coalesce(
         F.when(any_substring(text, rules.COMPLETED_INCIDENT), F.lit("completed")),
         F.when(any_substring(text, rules.CONCRETE_IMPACT), F.lit("impact")),

@@ -7,30 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import any_substring, any_word_in, extract_all, extract_first, matches, strip, through
+from ..functions.matching import (
+    any_substring, any_word_in, extract_all, extract_first, matches, no_strings, strip, through,
+)
 from ..functions.names import CLEANING_STEPS, clean_org, generic_descriptor, starts_upper, words
 from ..rules import names as N
 
 
 
-def _no_strings() -> Column:
-    return F.array().cast("array<string>")
-
-
 def candidates(text: Column, rules: Sequence[tuple[str, str, list[str]]]) -> Column:
     """Cleaned candidates in pattern order, then match order."""
     def captures(v: Column) -> Column:
         return F.flatten(F.array(*[
-            F.when(any_substring(v["low"], anchors), extract_all(v["text"], pattern)).otherwise(_no_strings())
+            F.when(any_substring(v["low"], anchors), extract_all(v["text"], pattern)).otherwise(no_strings())
             for _, pattern, anchors in rules
         ]))
 
-    # A text without any anchor at all skips the whole table.
-    anchors = [a for _, _, hints in rules for a in hints]
     raw = through(
         F.coalesce(text, F.lit("")),
         lambda t: F.struct(t.alias("text"), F.lower(t).alias("low")),
-        lambda v: F.when(any_substring(v["low"], anchors), captures(v)).otherwise(_no_strings()),
+        captures,
     )
     cleaned = F.filter(F.transform(raw, strip), lambda c: ~matches(c, N.AUDIENCE_TAIL))
     for step in CLEANING_STEPS:

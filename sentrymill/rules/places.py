@@ -117,12 +117,12 @@ REGION_TERMS = [
 ]
 
 # -- fixed values: phrases ------------------------------------------------------------------
-TARGET_PHRASES = [
-    r"\battacks?\s+(?:on|against)\s+([^.;:]+)",
-    r"\btarget(?:ing|ed)\s+([^.;:]+)",
-    r"\bcampaign(?:s)?\s+against\s+([^.;:]+)",
-    r"\bmalware\s+used\s+in\s+attacks?\s+(?:on|against)\s+([^.;:]+)",
-    r"\bbased\s+in\s+([^.;:,]+)",
+TARGET_PHRASES = [  # (pattern, substrings of which one occurs in every match)
+    (r"\battacks?\s+(?:on|against)\s+([^.;:]+)", ["attack"]),
+    (r"\btarget(?:ing|ed)\s+([^.;:]+)", ["target"]),
+    (r"\bcampaign(?:s)?\s+against\s+([^.;:]+)", ["campaign"]),
+    (r"\bmalware\s+used\s+in\s+attacks?\s+(?:on|against)\s+([^.;:]+)", ["malware"]),
+    (r"\bbased\s+in\s+([^.;:,]+)", ["based"]),
 ]
 AUDIENCE_PHRASE = (
     r"\b\w+(?:ian|ish|ese|an)\s+(?:users?|customers?|citizens?|people|residents?|nationals?"
