@@ -68,12 +68,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def corpus_text() -> str:
+    """Corpus statement with its three tables as arguments."""
+    return (CORPUS_SQL.replace("FROM orders JOIN", "FROM {orders} AS orders JOIN")
+            .replace("JOIN customer ON", "JOIN {customer} AS customer ON")
+            .replace("JOIN nation ON", "JOIN {nation} AS nation ON"))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of the corpus, one row per order."""
     return spark.sql(
-        CORPUS_SQL.replace("FROM orders JOIN", "FROM {orders} AS orders JOIN")
-        .replace("JOIN customer ON", "JOIN {customer} AS customer ON")
-        .replace("JOIN nation ON", "JOIN {nation} AS nation ON"),
+        corpus_text(),
         orders=spread_small(table(spark, sf_dir, "orders")),
         customer=table(spark, sf_dir, "customer"),
         nation=table(spark, sf_dir, "nation"),

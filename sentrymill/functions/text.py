@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..rules import names as N
 from ..rules import places as P
@@ -19,7 +20,7 @@ SENTENCE_BREAK = r"(?<=[.!?])\s+"
 
 
 # -- markup -----------------------------------------------------------------------
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _decode_entities(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
