@@ -112,9 +112,9 @@ add("t13_filing_ids", BASE,
     "SELECT article_id, CASE WHEN article_id % 3 < 2 THEN lpad(CAST(article_id AS VARCHAR), 10, '0') || '-24-000123' END AS accession, source_name AS filename FROM articles")
 add("t15_opening_summary", [
     "sents AS (SELECT doc_id, s, i FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, " + SPLIT.format("text") + " AS x FROM documents)))",
-    # A sentence is kept while everything up to it, joined by blanks, stays within the limit.
+    # Texts up to a sentence, joined by blanks, have upto - 1 characters; 400 is the limit.
     "sums AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM sents)",
-    "kept AS (SELECT *, coalesce(bool_and(i = 1 OR upto <= 400) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), true) AS keep FROM sums)"],
+    "kept AS (SELECT *, coalesce(bool_and(i = 1 OR upto <= 401) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), true) AS keep FROM sums)"],
     "SELECT doc_id, md5(trim(string_agg(s, ' ' ORDER BY i))) AS summary_md5 FROM kept WHERE keep GROUP BY doc_id")
 add("t16_combined_text", BASE, "SELECT article_id, t_all AS text_all, t_lead AS text_lead FROM src")
 add("t18_clean_summary", BASE + [
@@ -358,8 +358,8 @@ add("d4_suspicious_events", ATTRIBUTED + [
     "SELECT event_id, reason, article_id, source_name FROM why JOIN linked USING (event_id)")
 _BOTH = "concat_ws(' ', title, summary)"
 add("d5_keyword_drilldown", BASE, " UNION ALL ".join(
-    f"SELECT article_id, source_name, {q(k)} AS keyword, CAST(at AS INT) AS at, substr(b, greatest(at - 40, 1), {80 + len(k)}) AS context FROM "
-    f"(SELECT *, {_BOTH} AS b, instr(lower({_BOTH}), {q(k.lower())}) AS at FROM articles) WHERE at > 0" for k in ("DDoS", "stolen")))
+    f"SELECT article_id, source_name, {q(k)} AS keyword, CAST(spot AS INT) AS found_at, substr(b, greatest(spot - 40, 1), {80 + len(k)}) AS context FROM "
+    f"(SELECT *, {_BOTH} AS b, instr(lower({_BOTH}), {q(k.lower())}) AS spot FROM articles) WHERE spot > 0" for k in ("DDoS", "stolen")))
 add("d6_region_backfill", ATTRIBUTED + [
     "dist AS (SELECT event_id, country, CASE WHEN event_id % 3 = 0 THEN 'Georgia' ELSE region END AS old_region FROM att)",
     f"fix AS (SELECT *, CASE WHEN country IS NOT NULL THEN coalesce({region_of('country')}, old_region) WHEN old_region IN {within(P.CANONICAL_REGIONS)} THEN old_region END AS region FROM dist)"],

@@ -882,10 +882,14 @@ def _scratch(t, name: str) -> str:
     return f"{checkpoint_root(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _table_stream(t, name: str) -> DataFrame:
+    """A given table as a file stream; a stream reads a pattern, not one file."""
+    return t.spark.readStream.schema(t.table(name).schema).parquet(f"{t.sf_dir.rstrip('/')}/{name}.parque[t]")
+
+
 def _article_stream(t) -> DataFrame:
     """The corpus as a stream: orders arrive, customers and nations are tables."""
-    orders = t.table("orders")
-    stream = t.spark.readStream.schema(orders.schema).parquet(f"{t.sf_dir.rstrip('/')}/orders.parquet")
+    stream = _table_stream(t, "orders")
     return t.spark.sql(corpus.corpus_text(), orders=stream, customer=t.table("customer"), nation=t.table("nation"))
 
 
@@ -927,9 +931,7 @@ def x4_age_cutoff(t):
 
 @query
 def x5_stream_windows(t):
-    clicks = t.table("events")
-    stream = t.spark.readStream.schema(clicks.schema).parquet(f"{t.sf_dir.rstrip('/')}/events.parquet")
-    stream = stream.select("event_type", "ts")
+    stream = _table_stream(t, "events").select("event_type", "ts")
     out = _scratch(t, "x5")
     INC.start(INC.windowed_counts(stream, "event_type", "ts", "1 day", None, "0 seconds"), out + "-checkpoint", path=out).awaitTermination()
     # The last window stays open until later rows arrive, so it is not written.
@@ -943,8 +945,7 @@ def x5_sliding_windows(t):
 
 @query
 def x6_first_last_seen(t):
-    clicks = t.table("events")
-    stream = t.spark.readStream.schema(clicks.schema).parquet(f"{t.sf_dir.rstrip('/')}/events.parquet")
+    stream = _table_stream(t, "events")
     out = _scratch(t, "x6")
 
     def keep(batch: DataFrame, epoch: int) -> None:

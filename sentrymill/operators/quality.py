@@ -78,11 +78,11 @@ def keyword_drilldown(articles: DataFrame, patterns: Sequence[str], context: int
     for p in patterns:
         at = F.locate(p.lower(), F.lower(both))
         start = F.greatest(at - context, F.lit(1))
-        rows.append(F.when(at > 0, F.struct(F.lit(p).alias("keyword"), at.alias("at"),
+        rows.append(F.when(at > 0, F.struct(F.lit(p).alias("keyword"), at.alias("found_at"),
                                             F.substr(both, start, F.lit(2 * context + len(p))).alias("context"))))
     found = articles.withColumn("hit", F.explode(F.array_compact(F.array(*rows))))
     return found.select("article_id", "source_name", c("hit.keyword").alias("keyword"),
-                        c("hit.at").alias("at"), c("hit.context").alias("context"))
+                        c("hit.found_at").alias("found_at"), c("hit.context").alias("context"))
 
 
 def rederive_regions(events: DataFrame) -> DataFrame:

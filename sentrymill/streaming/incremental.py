@@ -5,7 +5,7 @@ Progress lives in the checkpoint of the query, not in a status column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,7 +17,7 @@ from ..rules import registry as G
 from ..sources.landed import _young
 
 FILE_SCHEMA = ("article_id bigint, source_name string, article_url string, title string, summary string, "
-               "content string, published_at timestamp, fetched_at timestamp")
+               "content string, published_at timestamp_ntz, fetched_at timestamp_ntz")
 
 
 def article_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None,
@@ -28,8 +28,22 @@ def article_stream(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(path)
 
 
+def as_instant(col: Column) -> Column:
+    """Time without zone read as UTC; watermarks need a point in time."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), col).cast("timestamp")
+
+
+def without_zone(col: Column) -> Column:
+    """Back from a point in time to UTC time without zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col.cast("timestamp_ntz"))
+
+
 def first_by_url(stream: DataFrame, delay: str = "7 days", time_col: str = "fetched_at") -> DataFrame:
-    """Drops repeated addresses while the watermark remembers them."""
+    """Drops repeated addresses while the watermark remembers them.
+
+    The time column is a time without zone.
+    """
+    stream = stream.withColumn(time_col, as_instant(F.col(time_col)))
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["article_url"])
 
 
@@ -55,11 +69,13 @@ def age_limited_sink(out_path: str, late_path: str):
 
 def windowed_counts(stream: DataFrame, label_col: str, time_col: str, length: str = "7 days",
                     slide: str | None = "1 day", delay: str = "1 day") -> DataFrame:
-    """Counts per label in tumbling (no slide) or sliding windows."""
+    """Counts per label in tumbling (no slide) or sliding windows of a time without zone."""
+    stream = stream.withColumn(time_col, as_instant(F.col(time_col)))
     window = F.window(time_col, length, slide) if slide else F.window(time_col, length)
     return (stream.withWatermark(time_col, delay).groupBy(window.alias("w"), F.col(label_col).alias("label"))
             .agg(F.count("*").alias("n_rows"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "label", "n_rows"))
+            .select(without_zone(F.col("w.start")).alias("window_start"),
+                    without_zone(F.col("w.end")).alias("window_end"), "label", "n_rows"))
 
 
 def first_last_seen(stream: DataFrame, key_col: str, time_col: str) -> DataFrame:
