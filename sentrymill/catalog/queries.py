@@ -908,7 +908,8 @@ def x1_stream_dedupe(t):
 
 @query
 def x2_stream_extract(t):
-    out = _run(t, INC.processed_stream(_article_stream(t)), "x2")
+    out = _scratch(t, "x2")
+    INC.start(_article_stream(t), out + "-checkpoint", sink=INC.extraction_sink(out)).awaitTermination()
     return t.spark.read.parquet(out).select("article_id", "victim_org_name", "attack_type", "industry", "country")
 
 

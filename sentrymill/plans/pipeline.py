@@ -30,6 +30,16 @@ def extract(processed: DataFrame) -> DataFrame:
     return extract_signals(processed.filter("relevant")).drop(*WORK_COLUMNS)
 
 
+def process_and_extract(articles: DataFrame, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Processed articles, written once, and the extraction rows of the relevant ones.
+
+    In one plan the filter on the verdict would move below the verdict and have
+    victim and rules evaluated a second time; the written table prevents that.
+    """
+    processed = staged(process(articles, registry), "processed")
+    return processed, extract(processed)
+
+
 def link(extracted: DataFrame) -> DataFrame:
     """Extraction rows with the event each article belongs to."""
     return link_articles(extracted, assign_clusters(with_keys(extracted)))
@@ -73,8 +83,3 @@ def run(articles: DataFrame, dictionary: DataFrame | None = None, registry: Data
     if trust_pass == "final":
         attributed = final_trust(attributed)
     return Result(processed, linked, attributed, seconds)
-
-
-def linked_articles(articles: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """Staged links of a run, for queries that start from events."""
-    return staged(link(staged(extract(process(articles, registry)), "extracted")), "linked")

@@ -12,7 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.attribute import attribute_events
 from ..operators.cluster import assign_clusters, cluster_key, link_articles, source_kind, with_keys
 from ..operators.merge import merge_events
-from ..plans.pipeline import extract, process
+from ..operators.spread import staged
+from ..corpus import spread_small
+from ..plans.pipeline import process_and_extract
 from ..rules import registry as G
 from ..sources.landed import _young
 
@@ -47,9 +49,12 @@ def first_by_url(stream: DataFrame, delay: str = "7 days", time_col: str = "fetc
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["article_url"])
 
 
-def processed_stream(stream: DataFrame) -> DataFrame:
-    """Verdicts and extraction of a stream; no state."""
-    return extract(process(stream))
+def extraction_sink(out_path: str):
+    """foreachBatch function: verdicts and extraction of each batch, no state."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        _, extracted = process_and_extract(spread_small(batch))
+        extracted.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+    return write
 
 
 def split_by_age(batch: DataFrame, fetched_col: str = "fetched_at") -> tuple[DataFrame, DataFrame]:
@@ -121,8 +126,8 @@ def upsert_articles(articles: DataFrame, links: DataFrame, events: DataFrame, di
     Gives the links and events afterwards and one outcome row per article:
     created, merged or irrelevant.
     """
-    processed = process(articles)
-    new_links = attach_batch(extract(processed), links)
+    processed, extracted = process_and_extract(articles)
+    new_links = staged(attach_batch(extracted, links), "new-links")
     columns = [c for c in new_links.columns if c in links.columns]
     all_links = links.select(*columns).unionByName(new_links.select(*columns))
     refreshed = attribute_events(refresh_touched(events, all_links, new_links), all_links, dictionary).drop("considered", "changed")
@@ -142,7 +147,7 @@ def cluster_sink(state_path: str):
     """
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        extracted = extract(process(batch))
+        _, extracted = process_and_extract(spread_small(batch))
         previous = None
         if epoch > 0:
             previous = spark.read.parquet(*[f"{state_path}/links/{e}" for e in range(epoch)])
