@@ -444,14 +444,12 @@ def e18_industry(t):
 
 @query
 def e19_e21_geography(t):
-    place = EX.geography("text_all", "text_lead")
-    return t.texts.select("article_id", place.alias("p")).select("article_id", c("p.country").alias("country"), c("p.region").alias("region"))
+    return EX.with_place(t.texts, "p").select("article_id", c("p.country").alias("country"), c("p.region").alias("region"))
 
 
 @query
 def e20_country(t):
-    place = EX.place_by_lead("text_lead")
-    return t.texts.select("article_id", place.alias("p")).select("article_id", c("p.country").alias("country"), c("p.region").alias("region"))
+    return EX.with_place(t.texts, "p", lead_only=True).select("article_id", c("p.country").alias("country"), c("p.region").alias("region"))
 
 
 @query

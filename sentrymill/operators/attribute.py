@@ -135,25 +135,23 @@ def eligible_events(events: DataFrame) -> DataFrame:
     with_victim = incident & c("victim_org_name").isNotNull() & is_generic_actor(c("actor_name"))
     without = incident & c("victim_org_name").isNull() & c("actor_name").isNull()
     return events.filter(with_victim | without).select(
-        "event_id", "source_count",
+        "event_id",
         F.when(c("victim_org_name").isNotNull(), F.array_distinct(word_set(c("victim_org_name")))).alias("victim_words"))
 
 
 def scanned_occurrences(events: DataFrame, linked: DataFrame, names: Names,
                         width: int = BUCKET_WIDTH, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Occurrences with guard verdicts, and the articles that were looked at."""
-    texts = linked.select("event_id", "article_id",
-                          article_text(F.col("title"), F.col("summary"), F.col("content")).alias("doc_text"))
-    marked = eligible_events(events).withColumn("wanted", F.lit(True))
-    docs = join_unique(texts, marked, "event_id", "source_count", "article_id", hot_rows).filter("wanted").drop("wanted", "source_count")
-    docs = docs_with_names(docs, names)
-    named = docs.filter(F.size("name_tokens") > 0)
-    # Only events that mention some name need the characters between articles.
-    mentioned = named.groupBy("event_id").agg(F.lit(True).alias("mentioned"))
-    sizes = docs.groupBy("event_id").agg(F.count("*").alias("n_docs")).join(mentioned, "event_id")
-    relevant = join_unique(docs, sizes, "event_id", "n_docs", "article_id", hot_rows).filter("mentioned").drop("mentioned", "n_docs")
+    texts = docs_with_names(linked.select(
+        "event_id", "article_id",
+        article_text(F.col("title"), F.col("summary"), F.col("content")).alias("doc_text")), names)
+    # Only eligible events that mention some name are looked at.
+    mentioned = texts.groupBy("event_id").agg(
+        F.count("*").alias("n_docs"), F.bool_or(F.size("name_tokens") > 0).alias("mentioned")).filter("mentioned")
+    targets = mentioned.join(eligible_events(events), "event_id").select("event_id", "n_docs", "victim_words", "mentioned")
+    docs = join_unique(texts, targets, "event_id", "n_docs", "article_id", hot_rows).filter("mentioned").drop("mentioned", "n_docs")
     reach = A.PHRASE_WINDOW + names.longest + 1
-    padded = neighbour_text(relevant, "event_id", "article_id", "doc_text", reach, width)
+    padded = neighbour_text(docs, "event_id", "article_id", "doc_text", reach, width)
     found = occurrences(padded.filter(F.size("name_tokens") > 0), names)
     return guards(found), docs
 

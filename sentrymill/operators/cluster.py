@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import org_acronym
 from ..functions.text import combined_text, primary_evidence
-from .spread import BUCKET_WIDTH, HOT_ROWS, join_unique, ordered_lag, running_last
+from .spread import BUCKET_WIDTH, HOT_ROWS, join_unique, run_starts
 
 CVE_NAME = r"(?i)^CVE-\d{4}-\d+$"
 
@@ -57,10 +57,7 @@ def assign_clusters(keyed: DataFrame, open_events: DataFrame | None = None,
 
     # Before the first incident article: runs of unregistered sources.
     early = known.filter(F.col("first_at").isNull() | (F.col("at") < F.col("first_at")))
-    early = ordered_lag(early, "cluster_key", "at", "kind", "previous_kind", width)
-    opens = F.coalesce(F.col("previous_kind") == "activity", F.lit(True))
-    early = early.withColumn("opened", F.when(opens, F.col("seed")))
-    early = running_last(early, "cluster_key", "at", "opened", "event_id", width)
+    early = run_starts(early, "cluster_key", "at", "kind", "seed", "activity", "event_id", width)
     still_open = (
         early.groupBy("cluster_key")
         .agg(F.max_by(F.struct("kind", "event_id"), "at").alias("tail"))

@@ -48,21 +48,24 @@ def industry(victim: Column, lead: Column | str) -> Column:
 
 
 # -- geography -------------------------------------------------------------------------
-_COUNTRY_TABLE = "array(" + ",".join(
-    f"struct({sql_text(term)} AS term, {sql_text(country)} AS country, {sql_text(region)} AS region)"
-    for terms, country, region in P.COUNTRY_TERMS for term in terms) + ")"
+def _country_case(text: str) -> str:
+    """country|region of the first country term in list order, as SQL over a name."""
+    rules = " ".join(
+        "WHEN " + " OR ".join(f"contains({text}, {sql_text(t)})" for t in terms) + f" THEN {sql_text(country + '|' + region)}"
+        for terms, country, region in P.COUNTRY_TERMS)
+    return f"CASE {rules} END"
 
 
-def countries_in(texts: Column) -> Column:
-    """(country, region) of each text that names a country: first term in list order."""
-    hits = F.transform(texts, lambda t: F.get(
-        F.filter(F.expr(_COUNTRY_TABLE), lambda r: F.contains(t, r["term"])), F.lit(0)))
-    return F.filter(hits, lambda h: h.isNotNull())
+def countries_in(texts: str) -> Column:
+    """First country|region among the texts of an array column, in array order."""
+    return F.expr(f"get(filter(transform({texts}, s -> {_country_case('s')}), p -> p IS NOT NULL), 0)")
 
 
-def _first_place(hits: Column) -> Column:
-    hit = F.get(hits, F.lit(0))
-    return F.when(hit.isNotNull(), F.struct(hit["country"].alias("country"), hit["region"].alias("region")))
+def as_place(label: Column) -> Column:
+    """struct(country, region) of a country|region label; an empty country is null."""
+    return through(label, lambda p: F.when(p.isNotNull(), F.struct(
+        F.nullif(F.split_part(p, F.lit("|"), F.lit(1)), F.lit("")).alias("country"),
+        F.split_part(p, F.lit("|"), F.lit(2)).alias("region"))))
 
 
 def without_audience(text: Column | str) -> Column:
@@ -78,31 +81,32 @@ def target_spans(text: Column | str) -> Column:
     return F.transform(spans, lambda s: strip(without_audience(s)))
 
 
-def region_by_lead(lead: Column) -> Column:
-    region = first_label(lead, P.REGION_TERMS)
-    return through(region, lambda r: F.when(
-        r.isNotNull(), F.struct(F.lit(None).cast("string").alias("country"), r.alias("region"))))
-
-
 def nationality_spans(text: Column | str) -> Column:
     spans = F.when(any_substring(text, [" is a"]) | matches(text, r"\bis\s+an?\s", JAVA_UNICODE),
                    extract_all(text, P.NATIONALITY_PHRASE, flags=JAVA_UNICODE)).otherwise(no_strings())
     return F.filter(F.transform(spans, strip), lambda s: ~any_substring(s, P.NATIONALITY_ACTOR_WORDS))
 
 
-def place_by_lead(lead: Column | str) -> Column:
-    """Country named in lower-cased title and summary, audience phrases aside."""
-    return _first_place(countries_in(F.array(without_audience(lead))))
+def with_place(frame: DataFrame, out: str, text: str = "text_all", lead: str = "text_lead",
+               wanted: Column | None = None, lead_only: bool = False) -> DataFrame:
+    """Adds struct(country, region): target phrase, lead, nationality, region word.
 
-
-def geography(text: Column | str, lead: Column | str) -> Column:
-    """struct(country, region): target phrase, lead, nationality, region word."""
-    return F.coalesce(
-        _first_place(countries_in(target_spans(text))),
-        place_by_lead(lead),
-        _first_place(countries_in(nationality_spans(text))),
-        region_by_lead(without_audience(lead)),
-    )
+    Where `wanted` is false nothing is looked for and the result is null.
+    """
+    wanted = F.lit(True) if wanted is None else wanted
+    ready = frame.withColumns({
+        "_lead": F.when(wanted, F.array(without_audience(lead))),
+        **({} if lead_only else {"_spans": F.when(wanted, target_spans(text)),
+                                 "_nation": F.when(wanted, nationality_spans(text))}),
+    })
+    if lead_only:
+        label = countries_in("_lead")
+    else:
+        ready = ready.withColumn("_bare_lead", F.get("_lead", F.lit(0)))
+        label = F.coalesce(
+            countries_in("_spans"), countries_in("_lead"), countries_in("_nation"),
+            F.concat(F.lit("|"), first_label("_bare_lead", P.REGION_TERMS)))
+    return ready.withColumn(out, as_place(label)).drop("_lead", "_spans", "_nation", "_bare_lead")
 
 
 # -- attack type --------------------------------------------------------------------------
@@ -194,11 +198,11 @@ def extract_signals(prepared: DataFrame) -> DataFrame:
         "industry0": industry(c("victim0"), "text_lead"),
         "attack_type": attack_type("text_all", "text_lead", "text_title", activity, "text_attack"),
         "anchor": event_anchor(c("title"), c("summary"), c("victim0"), c("source_name")),
-        # Without a named victim a place is incidental, so it is not even looked for.
-        "place": F.when(c("victim0").isNotNull(), geography("text_all", "text_lead")),
         "event_signal_type": F.coalesce(c("signal_kind"), F.lit("incident")),
         "short_event_summary": short_event_summary(c("summary"), c("content")),
     })
+    # Without a named victim a place is incidental, so it is not even looked for.
+    staged = with_place(staged, "place", wanted=c("victim0").isNotNull())
     title = strip(F.coalesce(c("title"), F.lit("")))
     anchor_name = c("anchor.name")
     official = c("source_name").isin(G.CATALOGUE_SOURCE, G.ADVISORY_SOURCE)

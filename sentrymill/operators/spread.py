@@ -44,44 +44,46 @@ def _bucket(order_col: str, width: int) -> Column:
     return F.floor(F.col(order_col) / F.lit(width)).cast("bigint")
 
 
-def ordered_lag(rows: DataFrame, key: str, order_col: str, value_col: str, out: str,
-                width: int = BUCKET_WIDTH) -> DataFrame:
-    """Value of the previous row of the key; null for its first row."""
-    cut = rows.withColumn("_bucket", _bucket(order_col, width))
-    local = cut.withColumn("_prev", F.lag(F.struct(value_col)).over(
-        Window.partitionBy(key, "_bucket").orderBy(order_col)))
-    edges = cut.groupBy(key, "_bucket").agg(F.max_by(F.struct(value_col), order_col).alias("_last"))
-    edges = edges.withColumn("_before", F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket"))).drop("_last")
-    joined = local.join(edges, [key, "_bucket"], "left")
-    return joined.withColumn(out, F.coalesce("_prev", "_before")[value_col]).select(*rows.columns, out)
-
+def run_starts(rows: DataFrame, key: str, order_col: str, kind_col: str, seed_col: str, closing_kind: str,
+               out: str, width: int = BUCKET_WIDTH) -> DataFrame:
+    """Seed of the run each row belongs to.
 
-def running_last(rows: DataFrame, key: str, order_col: str, value_col: str, out: str,
-                 width: int = BUCKET_WIDTH) -> DataFrame:
-    """Last non-null value at or before each row of the key."""
+    Within a key and in order, a run starts at the first row and after every row
+    of `closing_kind`.
+    """
+    order = F.col(order_col)
     cut = rows.withColumn("_bucket", _bucket(order_col, width))
-    local = cut.withColumn("_seen", F.last(value_col, ignorenulls=True).over(
-        Window.partitionBy(key, "_bucket").orderBy(order_col)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    edges = cut.filter(F.col(value_col).isNotNull()).groupBy(key, "_bucket").agg(
-        F.max_by(value_col, order_col).alias("_last"))
-    # Every bucket needs its carry, also those without a value of their own.
-    buckets = cut.select(key, "_bucket").distinct().join(edges, [key, "_bucket"], "left")
-    carry = buckets.withColumn("_carry", F.last("_last", ignorenulls=True).over(
-        Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
-    joined = local.join(carry, [key, "_bucket"], "left")
-    return joined.withColumn(out, F.coalesce("_seen", "_carry")).select(*rows.columns, out)
+    w = Window.partitionBy(key, "_bucket").orderBy(order_col)
+    cut = cut.withColumn("_prev", F.lag(kind_col).over(w))
+    cut = cut.withColumn("_opened", F.when(F.col("_prev") == closing_kind, F.col(seed_col)))
+    cut = cut.withColumn("_local", F.last("_opened", ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    edges = cut.groupBy(key, "_bucket").agg(
+        F.max_by(kind_col, order).alias("_last_kind"), F.min_by(seed_col, order).alias("_first_seed"),
+        F.max_by("_opened", F.when(F.col("_opened").isNotNull(), order)).alias("_last_opened"))
+    wk = Window.partitionBy(key).orderBy("_bucket")
+    edges = edges.withColumn("_before", F.lag("_last_kind").over(wk))
+    opens = F.col("_before").isNull() | (F.col("_before") == closing_kind)
+    edges = edges.withColumn("_first_run", F.when(opens, F.col("_first_seed")))
+    carried = F.last(F.coalesce("_last_opened", "_first_run"), ignorenulls=True).over(
+        wk.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(key, "_bucket", F.coalesce("_first_run", carried).alias("_carry"))
+    joined = cut.join(edges, [key, "_bucket"], "left")
+    return joined.select(*rows.columns, F.coalesce("_local", "_carry").alias(out))
 
 
 def neighbour_text(rows: DataFrame, key: str, order_col: str, text_col: str, reach: int,
                    width: int = BUCKET_WIDTH) -> DataFrame:
     """Up to `reach` characters of the texts before and after each row of the key.
 
-    Rows are taken in descending `order_col`, joined by one blank.  Texts are at
-    least two characters long, so `reach / 3 + 1` neighbours always suffice.
-    Adds before_text and after_text, null where there is no neighbour.
+    Rows are taken in descending `order_col`, joined by one blank; texts are not
+    empty.  Adds before_text and after_text, null where there is no neighbour.
+
+    Inside a bucket a row gets a position that counts at most `reach` characters
+    per text, so all neighbours that can matter lie within twice the reach: the
+    range frame holds a row or two of normal texts and more only of short ones.
     """
-    frame = reach // 3 + 1
+    near = 2 * reach + 1
 
     def joined_tail(parts: Column) -> Column:
         return F.when(F.size(parts) > 0, F.right(F.array_join(parts, " "), F.lit(reach)))
@@ -96,11 +98,14 @@ def neighbour_text(rows: DataFrame, key: str, order_col: str, text_col: str, rea
         "_bucket": _bucket(order_col, width),
         "_head": F.left(text_col, F.lit(reach)), "_tail": F.right(text_col, F.lit(reach)),
     })
-    w = Window.partitionBy(key, "_bucket").orderBy(F.desc(order_col))
-    local = cut.withColumns({
-        "_before": joined_tail(F.collect_list("_tail").over(w.rowsBetween(-frame, -1))),
-        "_after": joined_head(F.collect_list("_head").over(w.rowsBetween(1, frame))),
-    })
+    group = Window.partitionBy(key, "_bucket")
+    upto = group.orderBy(F.desc(order_col)).rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.withColumn("_place", F.coalesce(F.sum(F.length("_head") + 1).over(upto), F.lit(0)).cast("bigint"))
+    by_place = group.orderBy("_place")
+    local = placed.withColumns({
+        "_before": joined_tail(F.collect_list("_tail").over(by_place.rangeBetween(-near, -1))),
+        "_after": joined_head(F.collect_list("_head").over(by_place.rangeBetween(1, near))),
+    }).drop("_place")
     edges = local.groupBy(key, "_bucket").agg(
         F.min_by(F.right(glue(F.col("_before"), F.col("_tail")), F.lit(reach)), order_col).alias("_bucket_tail"),
         F.max_by(F.left(glue(F.col("_head"), F.col("_after")), F.lit(reach)), order_col).alias("_bucket_head"),
@@ -108,8 +113,8 @@ def neighbour_text(rows: DataFrame, key: str, order_col: str, text_col: str, rea
     wk = Window.partitionBy(key).orderBy(F.desc("_bucket"))
     edges = edges.select(
         key, "_bucket",
-        joined_tail(F.collect_list("_bucket_tail").over(wk.rowsBetween(-frame, -1))).alias("_far_before"),
-        joined_head(F.collect_list("_bucket_head").over(wk.rowsBetween(1, frame))).alias("_far_after"),
+        joined_tail(F.collect_list("_bucket_tail").over(wk.rowsBetween(-reach, -1))).alias("_far_before"),
+        joined_head(F.collect_list("_bucket_head").over(wk.rowsBetween(1, reach))).alias("_far_after"),
     )
     both = local.join(edges, [key, "_bucket"], "left")
     before = F.nullif(F.right(glue(F.col("_far_before"), F.col("_before")), F.lit(reach)), F.lit(""))
