@@ -31,13 +31,13 @@ def extract(processed: DataFrame) -> DataFrame:
 
 
 def process_and_extract(articles: DataFrame, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Processed articles, written once, and the extraction rows of the relevant ones.
+    """Processed articles and the extraction rows of the relevant ones, each written once.
 
-    In one plan the filter on the verdict would move below the verdict and have
-    victim and rules evaluated a second time; the written table prevents that.
+    In one plan the filter on the verdict would move below the verdict, and every
+    consumer would evaluate victim and rules again; written tables prevent that.
     """
     processed = staged(process(articles, registry), "processed")
-    return processed, extract(processed)
+    return processed, staged(extract(processed), "extracted")
 
 
 def link(extracted: DataFrame) -> DataFrame:

@@ -129,8 +129,10 @@ def upsert_articles(articles: DataFrame, links: DataFrame, events: DataFrame, di
     processed, extracted = process_and_extract(articles)
     new_links = staged(attach_batch(extracted, links), "new-links")
     columns = [c for c in new_links.columns if c in links.columns]
-    all_links = links.select(*columns).unionByName(new_links.select(*columns))
-    refreshed = attribute_events(refresh_touched(events, all_links, new_links), all_links, dictionary).drop("considered", "changed")
+    # Each table is written before the next step reads it several times.
+    all_links = staged(links.select(*columns).unionByName(new_links.select(*columns)), "all-links")
+    merged = staged(refresh_touched(events, all_links, new_links), "refreshed")
+    refreshed = staged(attribute_events(merged, all_links, dictionary).drop("considered", "changed"), "attributed")
     old = events.select("event_id", F.lit(True).alias("existed"))
     outcome = processed.select("article_id", "relevant").join(new_links.select("article_id", "event_id"), "article_id", "left").join(
         old, "event_id", "left")
