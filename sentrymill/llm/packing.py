@@ -36,6 +36,7 @@ END_ID = 0
 CACHE_SIZE = 600_000
 CELLS = 64
 NNLS_ROUNDS = 200
+_MARK = "\x02"
 _WORD = re.compile("[^ \t\n\x0b\f\r]+")
 
 Pattern = tuple[int, ...]
@@ -48,16 +49,29 @@ class WordTokens:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
 
+    def learn(self, new: list[str]) -> None:
+        """Ids of new words, many in one call: a control sign that no word holds stands between them."""
+        plain = [w for w in new if _MARK not in w]
+        for start in range(0, len(plain), 1000):
+            own = plain[start:start + 1000]
+            ids = np.array([*self.tokenizer.encode_batch_fast([f" {_MARK} ".join(own)], add_special_tokens=False)[0].ids, *self.mark], "<u4")
+            ends = np.flatnonzero(ids == self.mark[0])
+            blob, begin = ids.tobytes(), 0
+            for word, end in zip(own, (4 * ends).tolist(), strict=True):
+                self.cache[word] = blob[begin:end]
+                begin = end + 4
+        for word in set(new).difference(plain):
+            self.cache[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [_WORD.findall(t) for t in texts]
         if len(self.cache) > CACHE_SIZE:
             self.cache.clear()
-        new = list(set().union(*split).difference(self.cache))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[word] = np.array(found.ids, "<u4").tobytes()
+        self.learn(list(set().union(*split).difference(self.cache)))
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

@@ -11,6 +11,7 @@ from tests.llm.conftest import DATA
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ORACLE = Tokenizer.from_file(PATH)
+ORACLE.encode_special_tokens = True  # their strings in a text are ordinary text
 
 
 def check(docs, size=2048):
@@ -46,6 +47,11 @@ def test_whole_table_is_packed_tightly(spark):
     assert made <= least * 1.02 + 1
 
 
+def test_words_with_odd_signs(spark):
+    texts = ["a\x02b c \x02 d\x02", "e\u0301 \u0301x .\u201d \xa0y\x1cz", "It's 'twas  d'\u00c9t\u00c9 \u0130 \u03a3\u03a3", "<|endoftext|>x", "don't,stop!!"]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+
+
 def test_plan_uses_every_piece_once_and_few_sequences():
     rng = random.Random(5)
     for lengths in ([rng.randint(1, 2048) for _ in range(20_000)], [int(rng.paretovariate(0.8) * 40) % 2048 + 1 for _ in range(30_000)],
