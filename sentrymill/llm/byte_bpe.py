@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 from sentrymill.llm import pretokens
 from sentrymill.llm.common import body
 
-# Entries of a worker's cache, and characters that are worked on at once.
-CACHE_SIZE = 600_000
+# Entries of a worker's cache; rows and characters that are worked on at once.
+CACHE_SIZE = 250_000
+CHUNK_ROWS = 256
 CHUNK_CHARS = 1_000_000
 _LONG_PIECE = 48
 
@@ -144,27 +145,40 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.astype(np.int32)))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, ids, offsets (byte where each token starts in the UTF-8 text)."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per row of docs: id, ids, offsets (byte where each token starts in the UTF-8 text).
+
+    With `decoded`, the ids are decoded again at once, which saves moving them twice.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _chunks([len(t) for t in texts], CHUNK_CHARS):
-                ids, counts = words.encode(texts[a:b])
-                lengths = words.lengths[ids]
-                ends = np.cumsum(lengths)
-                base = np.concatenate(([0], ends))[np.cumsum(counts) - counts]
-                offsets = ends - lengths - np.repeat(base, counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(ids, counts), _lists(offsets, counts)],
-                                                 [id_col, "ids", "offsets"])
+            for start in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(start, CHUNK_ROWS)
+                texts = part.column(1).to_pylist()
+                for a, b in _chunks([len(t) for t in texts], CHUNK_CHARS):
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), *_encoded(words, texts[a:b], decoded)], schema.names)
 
     rows = docs.select(id_col, body(text_col).alias("_text"))
     ints = T.ArrayType(T.IntegerType(), False)
     schema = T.StructType([rows.schema[id_col], T.StructField("ids", ints), T.StructField("offsets", ints)])
+    if decoded:
+        schema = schema.add("decoded", T.BinaryType())
     return rows.mapInArrow(run, schema)
 
 
+def _encoded(words: Vocabulary, texts: list[str], decoded: bool) -> list[pa.Array]:
+    ids, counts = words.encode(texts)
+    lengths = words.lengths[ids]
+    places = np.concatenate(([0], np.cumsum(lengths)))
+    base = places[np.cumsum(counts) - counts]
+    out = [_lists(ids, counts), _lists(places[:-1] - np.repeat(base, counts), counts)]
+    if decoded:
+        together, ends = words.decode(ids, places[:-1]), places[np.cumsum(counts)]
+        out.append(pa.array([together[a:b] for a, b in zip(base.tolist(), ends.tolist())], pa.binary()))
+    return out
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", offsets_col: str = "offsets", out: str = "decoded") -> DataFrame:
     """Adds the bytes of the tokens; offsets may start anywhere, so slices of a text decode too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +198,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", offsets_col: str
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: n_tokens, ids_sha256 and decoded_sha256, the last from decoding the ids."""
-    both = decode(encode(docs, path, id_col, text_col), path)
+    both = encode(docs, path, id_col, text_col, decoded=True)
     told = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select(id_col, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(told.cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -75,6 +75,13 @@ def test_whole_table(spark):
     check(spark.read.parquet(f"{DATA}/documents.parquet"))
 
 
+def test_decoding_encoded_rows(documents, no_documents):
+    for docs in (documents, no_documents):
+        encoded = byte_bpe.encode(docs, PATH, decoded=True).withColumnRenamed("decoded", "at_once")
+        for r in byte_bpe.decode(encoded, PATH).collect():
+            assert r.decoded == r.at_once
+
+
 def test_offsets_decode_slices(spark):
     docs = spark.createDataFrame([(1, "Été là-bas, l'hiver 2024 \U0001f600!")], "doc_id bigint, text string")
     row = byte_bpe.encode(docs, PATH).first()
