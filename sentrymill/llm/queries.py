@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrymill.llm import byte_bpe, chat, exact_dedup, licenses, packing, quality, sharding
+from sentrymill.llm import byte_bpe, chat, exact_dedup, licenses, packing, quality, sharding, simhash
 from sentrymill.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op8_pattern_packing": op8_pattern_packing,
     "op10_quality_rules": op10_quality_rules,
 }
