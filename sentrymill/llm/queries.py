@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrymill.llm import byte_bpe, chat, exact_dedup, licenses, packing, quality, sharding, simhash
+from sentrymill.llm import byte_bpe, chat, exact_dedup, html_text, licenses, packing, quality, sharding, simhash
 from sentrymill.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_text(table(spark, sf_dir, "pages"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_license_scan": op2_license_scan,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_chat_format": op4_chat_format,
