@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sentrymill.llm import packing
@@ -47,6 +49,16 @@ def test_whole_table_is_packed_tightly(spark):
     assert made <= least * 1.02 + 1
 
 
+LETTERS = list("aAsStTdDlLmMrReEvV'\u2019.,-#1 \n\t\x0b\x1c\x00éÉßüñ\u0130\u0131\u01c4\u01f0\u024f\u0301\u030c\u00aa\u00d7²\u0661日\xa0\u03a3\x02")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=LETTERS, max_size=12) | st.text(alphabet=LETTERS[:42], max_size=12) | st.text(max_size=8), max_size=5))
+def test_ids_of_any_text(texts):
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.word_tokens(PATH).encode(texts)]
+    assert got == [ORACLE.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_with_odd_signs(spark):
     texts = ["a\x02b c \x02 d\x02", "e\u0301 \u0301x .\u201d \xa0y\x1cz", "It's 'twas  d'\u00c9t\u00c9 \u0130 \u03a3\u03a3", "<|endoftext|>x", "don't,stop!!"]
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
