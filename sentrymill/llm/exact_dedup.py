@@ -17,38 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill.llm.common import body
+from sentrymill.llm.gate import GATE_BITS, gate, passes
 from sentrymill.operators.spread import staged
 
 # Characters of a text that the prefix hash covers.
 PREFIX_CHARS = 256
-# The gate has 2**GATE_BITS bits: 2 MB, whatever the size of the input.
-GATE_BITS = 24
-_BITS_PER_BITMAP = 32_768
-
 
 def _shape(text_col: str, prefix_chars: int) -> list[Column]:
     text = body(text_col)
     return [F.octet_length(text).alias("_length"), F.xxhash64(F.left(text, F.lit(prefix_chars))).alias("_prefix")]
 
 
-def _slot(gate_bits: int) -> Column:
-    """Bit of the gate that a (length, prefix) key sets, from 1."""
-    return F.pmod(F.xxhash64("_length", "_prefix"), F.lit(1 << gate_bits)) + 1
-
-
-def survivors_gate(shapes: DataFrame, gate_bits: int) -> DataFrame:
-    """Bitmaps (_bucket, _bitmap) of the (length, prefix) keys that more than one row has."""
+def shared_shapes(shapes: DataFrame) -> DataFrame:
+    """The (length, prefix) keys that more than one row has: lengths first, prefixes only of lengths that repeat."""
     lengths = shapes.groupBy("_length").count().filter("count > 1").select("_length")
-    keys = (shapes.join(lengths, "_length", "left_semi").groupBy("_length", "_prefix").count().filter("count > 1")
-            .select(_slot(gate_bits).alias("_slot")))
-    return (keys.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bitmap")))
-
-
-def _is_set(bitmap: Column, slot: Column) -> Column:
-    position = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) > 0, F.lit(False))
+    return (shapes.join(lengths, "_length", "left_semi").groupBy("_length", "_prefix").count().filter("count > 1")
+            .select("_length", "_prefix"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False,
@@ -58,14 +42,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text_sha256 is null for rows that the gate held back, unless `digest_all`.
     """
     shapes = staged(docs.select(*_shape(text_col, prefix_chars)), "exact_shapes")
-    gate = F.broadcast(survivors_gate(shapes, gate_bits))
-    rows = (docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text"), *_shape(text_col, prefix_chars))
-            .withColumn("_slot", _slot(gate_bits)).withColumn("_bucket", F.bitmap_bucket_number("_slot")))
-    gated = rows.join(gate, "_bucket", "left").withColumn("_survives", _is_set(F.col("_bitmap"), F.col("_slot")))
+    key = ["_length", "_prefix"]
+    rows = docs.select(F.col(id_col).alias("_id"), body(text_col).alias("_text"), *_shape(text_col, prefix_chars))
+    gated = passes(rows, gate(shared_shapes(shapes), key, gate_bits), key, gate_bits, "_survives")
     wanted = F.lit(True) if digest_all else F.col("_survives")
     hashed = staged(gated.select("_id", "_survives", "_length", "_prefix", F.when(
         wanted, F.sha2(F.col("_text").cast("binary"), 256)).alias("_digest")), "exact_digests")
-    key = ["_length", "_prefix", "_digest"]
+    key = [*key, "_digest"]
     groups = staged(hashed.filter("_survives").groupBy(*key).agg(
         F.max("_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1"), "exact_groups")
     several = hashed.filter("_survives").join(groups, key, "left").select("_id", "_digest", "_keep", "_size")
