@@ -150,7 +150,7 @@ VICTIM = BASE + [
     + " UNION ALL ".join(
         f"SELECT article_id, 0 AS scope, {i} AS base, [nullif(regexp_extract(title, {q('(?i)' + p)}, 1), '')] AS l FROM src "
         "WHERE source_class IS DISTINCT FROM 'official_alert'" for i, (_, p) in enumerate(_FORMS))
-    + f" UNION ALL SELECT article_id, 1, 0, {_all(f'substr(content, 1, {N.CONTENT_SCAN_CHARS})', N.BODY_PATTERNS)} FROM src WHERE content IS NOT NULL"
+    + f" UNION ALL SELECT article_id, 1, 0, {_all('content', N.BODY_PATTERNS)} FROM src WHERE content IS NOT NULL"
     + f" UNION ALL SELECT article_id, 2, 0, {_all('summary', N.HEADLINE_PATTERNS)} FROM src WHERE source_class IS DISTINCT FROM 'official_alert'"
     + f" UNION ALL SELECT article_id, 3, 0, {_all('title', N.HEADLINE_PATTERNS)} FROM src WHERE source_class IS DISTINCT FROM 'official_alert')",
     "raws AS (SELECT article_id, scope, base + generate_subscripts(l, 1) AS pos, trim(unnest(l)) AS raw FROM lists)",

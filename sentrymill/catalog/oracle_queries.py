@@ -56,7 +56,8 @@ def pages_from(source: str) -> list[str]:
 
 add("s7_page_text", pages_from("pages"),
     "SELECT page_id, page_title, CAST(length(body) AS INT) AS body_chars, md5(body) AS body_md5, "
-    "CASE WHEN status = 'ok' THEN md5(substr(description, 1, 500)) END AS summary_md5, status FROM page_state")
+    "CASE WHEN status = 'ok' THEN md5(trim(body)) END AS content_md5, "
+    "CASE WHEN status = 'ok' THEN md5(description) END AS summary_md5, status FROM page_state")
 LINKS = ("links AS (SELECT page_id AS submission_id, list_extract(['https://www.bleepingcomputer.com', 'http://krebsonsecurity.com', 'https://therecord.media', "
          "'https://www.ncsc.gov.uk', 'https://www.other.org'], page_id % 5 + 1) || '/p/' || (page_id % 100) AS url, html FROM pages)")
 _DOMAIN = "regexp_replace(split_part(replace(replace({0}, 'https://', ''), 'http://', ''), '/', 1), '^www\\.', '')"
@@ -68,12 +69,14 @@ add("s9_url_dedupe", BASE,
     "SELECT article_id, article_url, title FROM (SELECT *, row_number() OVER (PARTITION BY article_url ORDER BY article_id) AS rn FROM articles) a "
     "WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM articles o WHERE o.article_url = a.article_url AND o.published_at < TIMESTAMP '1996-01-01')")
 add("s10_enrich_merge", BASE + [
-    "bodies AS (SELECT article_url, min(trim(substr(b, 1, 5000))) AS body FROM (SELECT article_url, concat_ws(' ', title, summary, content, title, summary) AS b "
-    "FROM articles WHERE article_id % 4 = 1) WHERE length(b) >= 100 GROUP BY 1)",
+    "bodies AS (SELECT article_url, min(trim(b, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS body FROM (SELECT article_url, "
+    "coalesce(d.text, concat_ws(' ', title, summary, content)) AS b FROM articles a LEFT JOIN documents d ON d.doc_id * 3 = a.article_id) "
+    "WHERE length(b) >= 100 GROUP BY 1)",
     f"cand AS (SELECT a.article_id, a.content, a.article_id % 7 = 0 AS done, source_name NOT IN ({q(G.CATALOGUE_SOURCE)}, {q(G.FILING_SOURCE)}) AND a.article_id % 7 <> 0 AS candidate, body "
     "FROM articles a LEFT JOIN bodies USING (article_url))"],
     "SELECT article_id, CASE WHEN candidate THEN body IS NOT NULL OR coalesce(length(content) >= 300, false) ELSE done END AS content_enriched, candidate, "
-    "candidate AND body IS NOT NULL AS enriched, CAST(length(CASE WHEN candidate AND body IS NOT NULL THEN body ELSE content END) AS INT) AS content_chars FROM cand")
+    "candidate AND body IS NOT NULL AS enriched, CAST(length(CASE WHEN candidate AND body IS NOT NULL THEN body ELSE content END) AS INT) AS content_chars, "
+    "md5(CASE WHEN candidate AND body IS NOT NULL THEN body ELSE content END) AS content_md5 FROM cand")
 _DUP = ("SELECT article_id, article_id > first_id AS is_duplicate, CASE WHEN article_id > first_id THEN first_id END AS duplicate_of FROM "
         "(SELECT {0} AS article_id, min({0}) OVER (PARTITION BY lower(regexp_replace(regexp_replace({1}, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'))) AS first_id FROM {2})")
 add("s12_exact_duplicates", [], _DUP.format("doc_id", "text", "documents"))

@@ -124,7 +124,7 @@ def s2_registry_lookup(t):
 def s7_page_text(t):
     return LD.page_status(t.table("pages")).select(
         "page_id", "page_title", F.length("body").alias("body_chars"), F.md5("body").alias("body_md5"),
-        F.md5("summary").alias("summary_md5"), "status")
+        F.md5("content").alias("content_md5"), F.md5("summary").alias("summary_md5"), "status")
 
 
 def _link_urls(t):
@@ -152,15 +152,17 @@ def _enrich_input(t):
         "article_id", "article_url", "content",
         F.when(c("source_name").isin(G.CATALOGUE_SOURCE, G.FILING_SOURCE), F.lit("other")).otherwise(F.lit("rss")).alias("source_type"),
         (c("article_id") % 7 == 0).alias("content_enriched"))
-    bodies = t.articles.filter(c("article_id") % 4 == 1).select(
-        "article_url", F.concat_ws(" ", "title", "summary", "content", "title", "summary").alias("body"))
+    # Every article has a body; some are too short, others whole documents.
+    bodies = t.articles.join(t.table("documents").select((c("doc_id") * 3).alias("article_id"), "text"), "article_id", "left").select(
+        "article_url", F.coalesce("text", F.concat_ws(" ", "title", "summary", "content")).alias("body"))
     return articles, bodies
 
 
 @query
 def s10_enrich_merge(t):
     return ST.enrich(*_enrich_input(t)).select(
-        "article_id", "content_enriched", "candidate", "enriched", F.length("content").alias("content_chars"))
+        "article_id", "content_enriched", "candidate", "enriched", F.length("content").alias("content_chars"),
+        F.md5("content").alias("content_md5"))
 
 
 @query

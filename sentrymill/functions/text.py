@@ -216,13 +216,18 @@ def state_hint(state: Column) -> Column:
     return F.when(state.isin(G.US_STATE_CODES), F.lit(G.US_HINT)).otherwise(F.lit(""))
 
 
-def _cut_at_word(body: Column, max_chars: int) -> Column:
+def _cut_at_word(body: Column, max_chars: int | None) -> Column:
+    if max_chars is None:
+        return body
     cut = F.regexp_replace(F.substring(body, 1, max_chars), r"(?s) [^ ]*$", "")
     return F.when(F.length(body) > max_chars, F.concat(cut, F.lit(" [...]"))).otherwise(body)
 
 
-def disclosure_excerpt(document: Column, max_chars: int = 2500, max_sentences: int = 12) -> Column:
-    """Section body of a filing, else the sentences from the first relevant one on."""
+def disclosure_excerpt(document: Column, max_chars: int | None = None, max_sentences: int | None = None) -> Column:
+    """Section body of a filing, else the sentences from the first relevant one on.
+
+    Whole, unless limited (2,500 characters and 12 sentences are the published limits).
+    """
     def section(text: Column) -> Column:
         return strip(F.regexp_extract(text, "(?isU)" + G.DISCLOSURE_SECTION, 1))
 
@@ -231,8 +236,8 @@ def disclosure_excerpt(document: Column, max_chars: int = 2500, max_sentences: i
             sentences(text),
             lambda s: F.struct(s.alias("s"), F.array_position(
                 F.transform(s, lambda x: F.rlike(x, F.lit("(?iU)" + G.DISCLOSURE_TERMS))), True).alias("at")),
-            lambda v: F.when(v["at"] > 0, F.slice(v["s"], v["at"], F.lit(max_sentences))),
-            lambda tail: F.filter(tail, lambda s, i: F.aggregate(
+            lambda v: F.when(v["at"] > 0, F.slice(v["s"], v["at"], F.lit(max_sentences) if max_sentences else F.size(v["s"]))),
+            lambda tail: tail if max_chars is None else F.filter(tail, lambda s, i: F.aggregate(
                 F.slice(tail, F.lit(1), i), F.lit(0), lambda n, t: n + F.length(t) + 1) < max_chars),
             lambda kept: strip(F.array_join(kept, " ")),
         )

@@ -51,9 +51,11 @@ def title_form(title: Column) -> Column:
     return F.coalesce(*options)
 
 
-def victim_name(title: Column, summary: Column, content: Column, is_alert: Column) -> Column:
+def victim_name(title: Column, summary: Column, content: Column, is_alert: Column, scan_chars: int | None = None) -> Column:
     """Victim named by an article, or null.
 
+    The whole body is read unless `scan_chars` limits it (N.CONTENT_SCAN_CHARS is the published limit).
+
     Order: settled headline forms, body relationships, summary, title.  Alert
     feeds use titles as document headings, so only their body counts.
     """
@@ -63,7 +65,7 @@ def victim_name(title: Column, summary: Column, content: Column, is_alert: Colum
             (v["title"] != "") & ~F.startswith(F.lower(v["title"]), F.lit("webinar:")),
             F.coalesce(
                 F.when(lead_allowed, title_form(v["title"])),
-                first_named(candidates(F.substring(v["content"], 1, N.CONTENT_SCAN_CHARS), N.BODY_PATTERNS)),
+                first_named(candidates(v["content"], N.BODY_PATTERNS)),
                 F.when(lead_allowed, first_named(candidates(v["summary"], N.HEADLINE_PATTERNS))),
                 F.when(lead_allowed, first_named(candidates(v["title"], N.HEADLINE_PATTERNS))),
             ),
@@ -71,9 +73,10 @@ def victim_name(title: Column, summary: Column, content: Column, is_alert: Colum
 
     def trimmed(c: Column) -> Column:
         return strip(F.coalesce(c, F.lit("")))
+    body = trimmed(content) if scan_chars is None else F.substring(trimmed(content), 1, scan_chars)
     return through(
         F.struct(trimmed(title).alias("title"), trimmed(summary).alias("summary"),
-                 trimmed(content).alias("content"), F.coalesce(is_alert, F.lit(False)).alias("is_alert")),
+                 body.alias("content"), F.coalesce(is_alert, F.lit(False)).alias("is_alert")),
         pick,
     )
 

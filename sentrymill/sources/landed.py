@@ -73,18 +73,27 @@ def feed_articles(entries: DataFrame, fetched_at: datetime | Column) -> DataFram
     return article_payload(rows, fetched_at)
 
 
-def _young(published: Column, fetched_at: datetime | Column) -> Column:
-    """At most 90 whole days old."""
-    days = F.floor(F.timestamp_diff("SECOND", published, moment(fetched_at)) / 86400)
-    return days <= G.MAX_AGE_DAYS
+def young(published: Column, fetched_at: datetime | Column, max_age_days: int = G.MAX_AGE_DAYS) -> Column:
+    """At most so many whole days old."""
+    return F.floor(F.timestamp_diff("SECOND", published, moment(fetched_at)) / 86400) <= max_age_days
+
+
+def split_by_age(articles: DataFrame, max_age_days: int = G.MAX_AGE_DAYS) -> tuple[DataFrame, DataFrame]:
+    """Articles young enough when they were fetched, and the others for a side table.
+
+    Only the catalogue and filings, which list everything ever published, are cut by age.
+    """
+    kept = ~F.col("source_name").isin(G.CATALOGUE_SOURCE, G.FILING_SOURCE) | young(F.col("published_at"), F.col("fetched_at"), max_age_days)
+    return articles.filter(F.coalesce(kept, F.lit(True))), articles.filter(~F.coalesce(kept, F.lit(True)))
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.CATALOGUE).option("multiLine", True).json(path)
 
 
-def catalogue_articles(catalogue: DataFrame, fetched_at: datetime | Column, source: str = G.CATALOGUE_SOURCE) -> DataFrame:
-    """Exploited-vulnerability catalogue to articles, one per entry of the last 90 days."""
+def catalogue_articles(catalogue: DataFrame, fetched_at: datetime | Column, source: str = G.CATALOGUE_SOURCE,
+                       max_age_days: int | None = None) -> DataFrame:
+    """Exploited-vulnerability catalogue to articles, one per entry; `max_age_days` limits their age."""
     c = F.col
     rows = catalogue.select("catalogVersion", F.explode("vulnerabilities").alias("v"))
 
@@ -94,7 +103,8 @@ def catalogue_articles(catalogue: DataFrame, fetched_at: datetime | Column, sour
         "catalogVersion", part("cveID").alias("cve"), part("vendorProject").alias("vendor"), part("product").alias("product"),
         part("vulnerabilityName").alias("vulnerability"), clean_html(c("v.shortDescription")).alias("description"),
         F.coalesce(c("v.dateAdded").try_cast("timestamp_ntz"), moment(fetched_at)).alias("published_at"),
-    ).filter("cve <> ''").filter(_young(c("published_at"), fetched_at))
+    ).filter("cve <> ''")
+    rows = rows if max_age_days is None else rows.filter(young(c("published_at"), fetched_at, max_age_days))
     rows = rows.withColumn("display", catalogue_display_name(c("vendor"), c("product")))
     rows = rows.withColumn("summary", catalogue_summary(c("display"), c("cve"), c("description")))
     feed_url = {s[0]: s[5] for s in G.SOURCES}[source]
@@ -117,11 +127,13 @@ def valid_accessions(hits: DataFrame) -> DataFrame:
 
 
 def filing_articles(hits: DataFrame, documents: DataFrame, fetched_at: datetime | Column,
-                    source: str = G.FILING_SOURCE) -> DataFrame:
+                    source: str = G.FILING_SOURCE, max_bytes: int | None = None,
+                    max_age_days: int | None = None) -> DataFrame:
     """Filing search hits to articles: one per accession, its first hit.
 
-    `documents` holds landed filing texts; those above the size limit are left
-    out and the article falls back to its template.
+    `documents` holds landed filing texts.  With `max_bytes` (G.FILING_MAX_BYTES is the
+    published limit) larger ones are left out and the article falls back to its
+    template.  Filings of any age are kept unless `max_age_days` limits it.
     """
     c = F.col
     rows = hits.select(F.posexplode("hits.hits").alias("position", "h")).select("position", "h._id", "h._source.*")
@@ -138,8 +150,10 @@ def filing_articles(hits: DataFrame, documents: DataFrame, fetched_at: datetime
         "cik": F.get("ciks", F.lit(0)),
         "filename": filing_filename(c("_id")),
         "published_at": F.coalesce(c("file_date").try_cast("timestamp_ntz"), moment(fetched_at)),
-    }).filter("company <> ''").filter(_young(c("published_at"), fetched_at))
-    texts = documents.filter(F.octet_length("html") <= G.FILING_MAX_BYTES).select(
+    }).filter("company <> ''")
+    rows = rows if max_age_days is None else rows.filter(young(c("published_at"), fetched_at, max_age_days))
+    fitting = documents if max_bytes is None else documents.filter(F.octet_length("html") <= max_bytes)
+    texts = fitting.select(
         c("cik"), c("accession").alias("adsh"), "filename", disclosure_excerpt(c("html")).alias("body"))
     rows = rows.join(texts, ["cik", "adsh", "filename"], "left")
     template = F.concat_ws(
@@ -161,11 +175,12 @@ def ingest(spark: SparkSession, paths: dict[str, str], fetched_at: datetime | Co
            registry: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
     """Articles of all active sources that have a landed path, by ingest type.
 
-    The registry is a handful of rows, so its list is read on the driver.
+    Each source is a part of the plan, so the driver walks over the registry, one row
+    at a time.  Rows of any age come out; `split_by_age` parts them.
     """
     registry = registry if registry is not None else source_registry(spark)
     parts = []
-    for source in registry.filter("active").select("source_name", "ingest_type").limit(1000).collect():
+    for source in registry.filter("active").select("source_name", "ingest_type").toLocalIterator():
         name, kind = source["source_name"], source["ingest_type"]
         if kind not in ("rss", "json", "sec_edgar_cyber") or (kind == "json" and name != G.CATALOGUE_SOURCE):
             raise ValueError(f"Unsupported source ingest_type '{kind}' for source '{name}'")
@@ -208,12 +223,17 @@ def page_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return rows.withColumn("description", F.coalesce(F.nullif(clean_html(meta), F.lit("")), lead))
 
 
-def page_status(pages: DataFrame) -> DataFrame:
-    """Page texts with their status and the capped article body."""
+def page_status(pages: DataFrame, max_chars: int | None = None, summary_chars: int | None = None) -> DataFrame:
+    """Page texts with their status, article body and summary.
+
+    Both stay whole unless limited (G.BODY_MAX_CHARS and G.SUBMITTED_SUMMARY_CHARS are the published limits).
+    """
+    def limited(column: str, most: int | None) -> Column:
+        return F.col(column) if most is None else F.substring(column, 1, most)
     c = F.col
     enough = (c("page_title") != "") & (F.length("body") >= G.BODY_MIN_CHARS)
     return page_texts(pages).withColumns({
         "status": F.when(enough, F.lit("ok")).otherwise(F.lit("insufficient_content")),
-        "content": F.when(enough, strip(F.substring("body", 1, G.BODY_MAX_CHARS))),
-        "summary": F.when(enough, F.substring("description", 1, G.SUBMITTED_SUMMARY_CHARS)),
+        "content": F.when(enough, strip(limited("body", max_chars))),
+        "summary": F.when(enough, limited("description", summary_chars)),
     })

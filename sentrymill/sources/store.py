@@ -44,15 +44,16 @@ def insert_articles(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return stored.unionByName(new_by_url(batch, stored), allowMissingColumns=True)
 
 
-def enrich(articles: DataFrame, bodies: DataFrame) -> DataFrame:
+def enrich(articles: DataFrame, bodies: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Replace thin feed content by landed page bodies (article_url, body).
 
-    Adds candidate and enriched flags for the counts.
+    Adds candidate and enriched flags for the counts.  Bodies stay whole unless
+    `max_chars` limits them (G.BODY_MAX_CHARS is the published limit).
     """
     c = F.col
     candidate = F.coalesce((c("source_type") == "rss") & (c("content_enriched") == F.lit(False)), F.lit(False))
-    usable = bodies.filter(F.length("body") >= G.BODY_MIN_CHARS).groupBy("article_url").agg(
-        F.min(strip(F.substring("body", 1, G.BODY_MAX_CHARS))).alias("body"))
+    body = c("body") if max_chars is None else F.substring("body", 1, max_chars)
+    usable = bodies.filter(F.length("body") >= G.BODY_MIN_CHARS).groupBy("article_url").agg(F.min(strip(body)).alias("body"))
     joined = articles.join(usable, "article_url", "left").withColumn("candidate", candidate).withColumn(
         "enriched", c("candidate") & c("body").isNotNull())
     thick = F.coalesce(F.length("content") >= G.THIN_CONTENT_CHARS, F.lit(False))

@@ -16,7 +16,7 @@ from ..operators.spread import staged
 from ..corpus import spread_small
 from ..plans.pipeline import process_and_extract
 from ..rules import registry as G
-from ..sources.landed import _young
+from ..sources.landed import young
 
 FILE_SCHEMA = ("article_id bigint, source_name string, article_url string, title string, summary string, "
                "content string, published_at timestamp_ntz, fetched_at timestamp_ntz")
@@ -59,7 +59,7 @@ def extraction_sink(out_path: str):
 
 def split_by_age(batch: DataFrame, fetched_col: str = "fetched_at") -> tuple[DataFrame, DataFrame]:
     """Rows within the age limit and rows beyond it."""
-    young = F.coalesce(_young(F.col("published_at"), F.col(fetched_col)), F.lit(True))
+    young = F.coalesce(young(F.col("published_at"), F.col(fetched_col)), F.lit(True))
     return batch.filter(young), batch.filter(~young)
 
 

@@ -49,7 +49,9 @@ def test_catalogue(spark, tmp_path):
         {**base, "cveID": "CVE-2025-3", "dateAdded": "2025-01-30"}, {**base, "cveID": "CVE-2025-4", "dateAdded": "2025-01-31"},
         {**base, "cveID": " "}, {**base, "cveID": "CVE-2025-5", "dateAdded": "soon", "shortDescription": "word " * 100, "vendorProject": "", "product": ""}])
     got = {r["title"].split("(")[1][:-1]: r for r in landed.catalogue_articles(landed.read_catalogue(spark, write(tmp_path / "c.json", doc)), NOW).collect()}
-    assert set(got) == {"CVE-2025-1", "CVE-2025-2", "CVE-2025-4", "CVE-2025-5"}
+    assert set(got) == {f"CVE-2025-{i}" for i in range(1, 6)}
+    young, old = landed.split_by_age(landed.catalogue_articles(landed.read_catalogue(spark, str(tmp_path / "c.json")), NOW))
+    assert young.count() == 4 and [r["title"][-11:-1] for r in old.collect()] == ["CVE-2025-3"]
     first, second, last = got["CVE-2025-1"], got["CVE-2025-2"], got["CVE-2025-5"]
     assert first["title"] == "Acme Mail Code Injection Vulnerability (CVE-2025-1)" and first["summary"] == "One.  Two!"  # the second match keeps its blank
     assert first["content"] == "One.  Two! CVE: CVE-2025-1 Vendor: Acme Product: Mail Catalog version: 7"
@@ -73,8 +75,11 @@ def test_filings(spark, tmp_path):
     body = "Item 1.05 Material Cybersecurity Incidents On May 1 an unauthorized actor entered our systems. " + "We contained it. " * 8 + "SIGNATURES"
     documents = spark.createDataFrame([("0000033185", "0000033185-25-000001", "main.htm", f"<p>{body}</p>"),
                                        ("0000033185", "0000033185-25-000005", "big.htm", "x" * 750_001)], schema.FILING_DOCUMENTS)
-    got = {r["article_url"][-30:-10]: r for r in landed.filing_articles(frame, documents, NOW).collect()}
-    assert set(got) == {"0000033185-25-000001", "0000033185-25-000005"}
+    everything = landed.filing_articles(frame, documents, NOW)
+    assert {r["article_url"][-30:-10] for r in everything.collect()} == {f"0000033185-25-00000{i}" for i in (1, 3, 5)}
+    young, old = landed.split_by_age(everything)
+    assert [r["article_url"][-30:-10] for r in old.collect()] == ["0000033185-25-000003"]
+    got = {r["article_url"][-30:-10]: r for r in young.collect()}
     full, template = got["0000033185-25-000001"], got["0000033185-25-000005"]
     assert full["title"] == "Equifax Inc discloses breach in SEC 8-K filing"
     assert full["article_url"] == "https://www.sec.gov/Archives/edgar/data/33185/000003318525000001/0000033185-25-000001-index.htm"
@@ -105,7 +110,7 @@ def test_insert_and_enrich(spark):
     bodies = spark.createDataFrame([("u1", "b" * 6000), ("u2", "short"), ("u3", "c" * 200)], "article_url string, body string")
     done = store.enrich(table, bodies)
     got = {r["article_id"]: (len(r["content"]), r["content_enriched"]) for r in done.collect()}
-    assert got == {1: (5000, True), 4: (4, False), 7: (1, False), 8: (300, True)}
+    assert got == {1: (6000, True), 4: (4, False), 7: (1, False), 8: (300, True)}
     assert tuple(store.enrich_counts(done).first()) == (3, 1)
 
 
