@@ -59,15 +59,15 @@ def extraction_sink(out_path: str):
 
 def split_by_age(batch: DataFrame, fetched_col: str = "fetched_at") -> tuple[DataFrame, DataFrame]:
     """Rows within the age limit and rows beyond it."""
-    young = F.coalesce(young(F.col("published_at"), F.col(fetched_col)), F.lit(True))
-    return batch.filter(young), batch.filter(~young)
+    kept = F.coalesce(young(F.col("published_at"), F.col(fetched_col)), F.lit(True))
+    return batch.filter(kept), batch.filter(~kept)
 
 
 def age_limited_sink(out_path: str, late_path: str):
     """foreachBatch function: young rows to one table, old rows to a side table."""
     def write(batch: DataFrame, epoch: int) -> None:
-        young, late = split_by_age(batch)
-        young.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        fresh, late = split_by_age(batch)
+        fresh.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
         late.write.mode("overwrite").parquet(f"{late_path}/epoch={epoch}")
     return write
 
