@@ -208,7 +208,8 @@ add("e25_extraction", EXTRACTED,
 # -- joins and clustering ----------------------------------------------------------------------------------
 _CAND = ("SELECT x.article_id, e.event_id, CAST(CASE WHEN x.victim_org_normalized = e.victim_org_normalized THEN 1.0 ELSE 0.95 END AS DOUBLE) AS match_score "
          "FROM ext x JOIN ev e ON x.victim_org_normalized = e.victim_org_normalized OR x.victim_org_name = e.victim_org_name")
-add("j3_candidates", MERGED, _CAND)
+_BEST = f"SELECT article_id, arg_min(event_id, (-match_score) * 1e9 + event_id) AS event_id, max(match_score) AS match_score FROM ({_CAND}) GROUP BY 1"
+add("j3_candidates", MERGED, _BEST)
 ACRO = MERGED + [
     "acro AS (SELECT event_id, victim_org_name || ' (AC' || (event_id % 7) || ')' AS victim_org_name, country, attack_type FROM ev)",
     f"acro_n AS (SELECT *, {acronym('victim_org_name')} AS acronym FROM acro)",
@@ -216,7 +217,7 @@ ACRO = MERGED + [
     "count(*) OVER (PARTITION BY acronym, country, attack_type) AS group_size FROM acro_n WHERE acronym IS NOT NULL AND country <> '' AND attack_type <> '')"]
 add("j4_alias_match", ACRO, "SELECT * FROM groups")
 add("j7_orphaned_events", CLUSTERED, "SELECT event_id FROM linked GROUP BY 1 HAVING bool_and(source_name = 'unregistered-blog')")
-add("c2_match_score", MERGED, f"SELECT article_id, arg_min(event_id, (-match_score) * 1e9 + event_id) AS event_id, max(match_score) AS match_score FROM ({_CAND}) GROUP BY 1")
+add("c2_match_score", MERGED, _BEST)
 add("c3_cluster_assign", CLUSTERED, "SELECT article_id, event_id FROM linked")
 add("c5_links", CLUSTERED, "SELECT event_id, article_id, CAST(1.0 AS DOUBLE) AS match_score, is_primary_source FROM linked")
 add("c6_primary_evidence", BASE, f"SELECT article_id, {any_sub('t_all', S.PRIMARY_EVIDENCE)} AS is_primary_source FROM src")
@@ -272,7 +273,7 @@ _AS_OF = "(SELECT as_of FROM clock)"
 add("q2_filtered", ATTRIBUTED,
     "SELECT event_id, industry, attack_type, confidence_score FROM att WHERE industry ILIKE '%tech%' AND attack_type ILIKE 'data_breach' AND confidence_score >= 75")
 add("q2_incident_window", ATTRIBUTED,
-    f"SELECT event_id, victim_org_name, last_seen_at FROM att WHERE event_signal_type = 'incident' AND victim_org_name IS NOT NULL AND is_high_impact AND last_seen_at >= {_AS_OF} - INTERVAL 90 DAY")
+    f"SELECT event_id, victim_org_name, last_seen_at FROM att WHERE event_signal_type = 'incident' AND victim_org_name IS NOT NULL AND is_high_impact AND last_seen_at BETWEEN {_AS_OF} - INTERVAL 90 DAY AND {_AS_OF}")
 _FEED = "ORDER BY CASE WHEN event_signal_type = 'incident' THEN 0 ELSE 1 END, confidence_score DESC, CASE WHEN is_high_impact THEN 0 ELSE 1 END, source_count DESC, last_seen_at DESC, event_id"
 add("q3_feed", ATTRIBUTED,
     "SELECT event_id, victim_org_name, confidence_score, is_high_impact, source_count, last_seen_at FROM (SELECT * FROM att WHERE event_signal_type = 'incident' "
@@ -306,7 +307,7 @@ def _top(column: str, where: str = "true") -> str:
 
 add("q7_summary", ATTRIBUTED,
     f"SELECT count(*) AS total_events, count(*) FILTER (WHERE confidence_score >= 75) AS high_trust_events, count(*) FILTER (WHERE is_high_impact) AS high_impact_events, "
-    f"count(*) FILTER (WHERE last_seen_at >= {_AS_OF} - INTERVAL 1 DAY) AS new_today_events, count(*) FILTER (WHERE event_status = 'confirmed') AS confirmed_events, "
+    f"count(*) FILTER (WHERE last_seen_at BETWEEN {_AS_OF} - INTERVAL 1 DAY AND {_AS_OF}) AS new_today_events, count(*) FILTER (WHERE event_status = 'confirmed') AS confirmed_events, "
     f"count(*) FILTER (WHERE event_status = 'emerging') AS emerging_events, {_top('attack_type')} AS top_attack_type, {_top('industry')} AS top_targeted_industry FROM att")
 add("q8_top_label", ATTRIBUTED, f"SELECT {_top('attack_type')} AS top_attack_type")
 add("q9_top_counts", ATTRIBUTED,
@@ -314,13 +315,13 @@ add("q9_top_counts", ATTRIBUTED,
 add("q10_event_context", ATTRIBUTED,
     "SELECT event_id, CASE WHEN victim_entity_type = 'vulnerability' THEN 'Vulnerability' WHEN victim_entity_type = 'product_or_platform' THEN 'Product / Platform' "
     "WHEN event_signal_type = 'activity' THEN 'Security Activity' WHEN industry <> 'Unknown' THEN industry ELSE 'Other' END AS context FROM att")
-_RISING = ("SELECT label, current, previous, current - previous AS delta, previous = 0 AS is_new FROM (SELECT {0} AS label, count(*) FILTER (WHERE {1} >= {2} - INTERVAL 7 DAY) AS current, "
+_RISING = ("SELECT label, current, previous, current - previous AS delta, previous = 0 AS is_new FROM (SELECT {0} AS label, count(*) FILTER (WHERE {1} BETWEEN {2} - INTERVAL 7 DAY AND {2}) AS current, "
            "count(*) FILTER (WHERE {1} >= {2} - INTERVAL 14 DAY AND {1} < {2} - INTERVAL 7 DAY) AS previous FROM {3} WHERE lower({0}) NOT IN ('unknown', 'other') GROUP BY 1) "
            "WHERE current > 0 ORDER BY delta DESC, current DESC, lower(label) LIMIT 5")
 add("q11_rising_attack_types", ATTRIBUTED, _RISING.format("attack_type", "last_seen_at", _AS_OF, "att"))
 add("q11_rising_event_types", [], _RISING.format("event_type", "ts", "TIMESTAMP '2024-01-20'", "events"))
 add("q12_active_actors", ATTRIBUTED,
-    f"SELECT actor_name AS label, count(*) AS n_events FROM att WHERE actor_name IS NOT NULL AND last_seen_at >= {_AS_OF} - INTERVAL 7 DAY GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+    f"SELECT actor_name AS label, count(*) AS n_events FROM att WHERE actor_name IS NOT NULL AND last_seen_at BETWEEN {_AS_OF} - INTERVAL 7 DAY AND {_AS_OF} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 add("q13_source_coverage", ATTRIBUTED,
     "SELECT coalesce(display_label, source_name) AS label, count(DISTINCT event_id) AS n_events, CAST(round_even(count(DISTINCT event_id) / (SELECT greatest(count(*), 1) FROM att "
     "WHERE confidence_score >= 75) * 100, 0) AS INT) AS pct FROM linked WHERE event_id IN (SELECT event_id FROM att WHERE confidence_score >= 75) GROUP BY 1")
@@ -411,7 +412,7 @@ add("d15_rule_dry_run", [x.replace(_STRICT, any_sub("t_title", R.NEGATIVE_TITLE
     "SELECT source_name, count(*) FILTER (WHERE starts_with(decision, '+')) AS n_passed, count(*) FILTER (WHERE NOT starts_with(decision, '+')) AS n_rejected, count(*) AS n_articles FROM decided GROUP BY 1")
 
 # -- streaming ------------------------------------------------------------------------------------------------------
-add("x1_stream_dedupe", BASE, "SELECT DISTINCT article_url FROM articles")
+add("x1_stream_dedupe", BASE, "SELECT article_url, min(article_id) AS article_id FROM articles GROUP BY 1")
 add("x2_stream_extract", EXTRACTED, "SELECT article_id, victim_org_name, attack_type, industry, country FROM ext")
 _OLD = "published_at < TIMESTAMP '1998-06-01'"
 ORACLE["x3_incremental_cluster"] = with_ctes(EXTRACTED + [
@@ -419,11 +420,12 @@ ORACLE["x3_incremental_cluster"] = with_ctes(EXTRACTED + [
     f"half AS (SELECT *, CASE WHEN {_OLD} THEN 0 ELSE 1 END AS h FROM keyed)",
     "mk AS (SELECT *, coalesce(max(CASE WHEN kind = 'incident' THEN 1 ELSE 0 END) OVER (PARTITION BY ckey ORDER BY h, article_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had, "
     "lag(kind) OVER (PARTITION BY ckey ORDER BY h, article_id) AS prev FROM half)"],
-    "SELECT count(*) FILTER (WHERE ckey IS NULL OR (had = 0 AND (prev IS NULL OR prev = 'activity'))) AS n_events, count(*) AS n_links FROM mk")
+    "SELECT article_id, CASE WHEN ckey IS NULL THEN article_id ELSE last_value(CASE WHEN had = 0 AND (prev IS NULL OR prev = 'activity') THEN article_id END IGNORE NULLS) OVER "
+    "(PARTITION BY ckey ORDER BY h, article_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS event_id FROM mk")
 add("x4_age_cutoff", BASE,
     "SELECT article_id, CASE WHEN floor(date_diff('second', published_at, TIMESTAMP '1997-01-01') / 86400) <= 90 THEN 'young' ELSE 'late' END AS side FROM articles")
 add("x5_stream_windows", [],
-    "SELECT date_trunc('day', ts) AS window_start, event_type AS label, count(*) AS n_rows FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY ALL")
+    "SELECT date_trunc('day', ts) AS window_start, event_type AS label, count(*) AS n_rows FROM events GROUP BY ALL")
 add("x5_sliding_windows", [
     "starts AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-20', TIMESTAMP '2024-02-10', INTERVAL 1 DAY)) AS window_start)"],
     "SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, event_type AS label, count(*) AS n_rows FROM events JOIN starts ON ts >= window_start AND ts < window_start + INTERVAL 7 DAY GROUP BY ALL")

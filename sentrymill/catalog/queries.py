@@ -899,11 +899,21 @@ def _run(t, stream: DataFrame, name: str, **options) -> str:
     return out
 
 
+def _updates(t, stream: DataFrame, name: str) -> DataFrame:
+    """All rows that a stream in update mode gives."""
+    out = _scratch(t, name)
+    INC.start(stream, out + "-checkpoint", sink=INC.update_sink(out), mode="update").awaitTermination()
+    return t.spark.read.parquet(out)
+
+
 @query
 def x1_stream_dedupe(t):
+    """Addresses once each, with the least article that has it."""
     stream = _article_stream(t).select("article_id", "article_url", c("published_at").alias("fetched_at"))
     out = _run(t, INC.first_by_url(stream, "4000 days"), "x1")
-    return t.spark.read.parquet(out).select("article_url")
+    seen = t.spark.read.parquet(out).select("article_url").distinct()
+    return _updates(t, INC.least_by_url(stream), "x1-least").groupBy("article_url").agg(F.min("article_id").alias("article_id")).join(
+        seen, "article_url")
 
 
 @query
@@ -915,42 +925,46 @@ def x2_stream_extract(t):
 
 @query
 def x3_incremental_cluster(t):
-    """Links of the second half of the corpus, attached to events of the first half."""
-    first, second = t.extracted.filter(c("published_at") < F.lit("1998-06-01").cast("timestamp_ntz")), t.extracted
-    links = staged(INC.attach_batch(first, None), "x3-first")
-    fresh = staged(INC.attach_batch(second, links), "x3-second")
-    events = INC.refresh_touched(MG.merge_events(links), links.unionByName(fresh), fresh)
-    return events.agg(F.count("*").alias("n_events"), F.sum("source_count").alias("n_links"))
+    """Links after two runs of the clustering stream: the older articles land first, then the others."""
+    out, landed = _scratch(t, "x3"), _scratch(t, "x3-landed")
+    columns = [f.split()[0] for f in INC.FILE_SCHEMA.split(", ")]
+    old = c("published_at") < F.lit("1998-06-01").cast("timestamp_ntz")
+    articles = t.articles.withColumn("fetched_at", c("published_at")).select(*columns)
+    for part in (articles.filter(old), articles.filter(~old)):
+        part.write.mode("append").parquet(landed)
+        INC.start(INC.article_stream(t.spark, landed), out + "-checkpoint", sink=INC.cluster_sink(out)).awaitTermination()
+    return t.spark.read.option("recursiveFileLookup", True).parquet(out + "/links").select("article_id", "event_id")
 
 
 @query
 def x4_age_cutoff(t):
-    fetched = t.articles.withColumn("fetched_at", F.lit("1997-01-01").cast("timestamp_ntz"))
-    young, late = INC.split_by_age(fetched)
-    return young.select("article_id", F.lit("young").alias("side")).unionByName(late.select("article_id", F.lit("late").alias("side")))
+    """Both tables of the age-limited stream."""
+    out, late = _scratch(t, "x4"), _scratch(t, "x4-late")
+    stream = _article_stream(t).withColumn("fetched_at", F.lit("1997-01-01").cast("timestamp_ntz"))
+    INC.start(stream, out + "-checkpoint", sink=INC.age_limited_sink(out, late)).awaitTermination()
+    return t.spark.read.parquet(out).select("article_id", F.lit("young").alias("side")).unionByName(
+        t.spark.read.parquet(late).select("article_id", F.lit("late").alias("side")))
+
+
+def _last_counts(updates: DataFrame) -> DataFrame:
+    """Counts only grow, so the greatest of a window is its last; windows that are still open count too."""
+    return updates.groupBy("window_start", "window_end", "label").agg(F.max("n_rows").alias("n_rows"))
 
 
 @query
 def x5_stream_windows(t):
     stream = _table_stream(t, "events").select("event_type", "ts")
-    out = _scratch(t, "x5")
-    INC.start(INC.windowed_counts(stream, "event_type", "ts", "1 day", None, "0 seconds"), out + "-checkpoint", path=out).awaitTermination()
-    # The last window stays open until later rows arrive, so it is not written.
-    return t.spark.read.parquet(out).select("window_start", "label", "n_rows")
+    return _last_counts(_updates(t, INC.windowed_counts(stream, "event_type", "ts", "1 day", None, "0 seconds"), "x5")).drop("window_end")
 
 
 @query
 def x5_sliding_windows(t):
-    return INC.windowed_counts(t.table("events"), "event_type", "ts").select("window_start", "window_end", "label", "n_rows")
+    stream = _table_stream(t, "events").select("event_type", "ts")
+    return _last_counts(_updates(t, INC.windowed_counts(stream, "event_type", "ts"), "x5-sliding"))
 
 
 @query
 def x6_first_last_seen(t):
     stream = _table_stream(t, "events")
-    out = _scratch(t, "x6")
-
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-    INC.start(INC.first_last_seen(stream, "user_id", "ts"), out + "-checkpoint", sink=keep, mode="update").awaitTermination()
-    updates = t.spark.read.parquet(out)
+    updates = _updates(t, INC.first_last_seen(stream, "user_id", "ts"), "x6")
     return updates.groupBy("user_id").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))

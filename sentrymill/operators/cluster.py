@@ -92,21 +92,20 @@ def link_articles(extracted: DataFrame, assigned: DataFrame) -> DataFrame:
 
 # -- matching as a query of its own ------------------------------------------------------
 def candidate_events(extracted: DataFrame, events: DataFrame) -> DataFrame:
-    """Events sharing the normalised or the exact name with an article.
+    """The least event sharing the normalised or the exact name with each article.
 
-    Two equi joins instead of one join on either condition.  An exact name
-    implies the normalised one, so the second join only covers names whose
-    normal form is empty.
+    Events of one name are reduced first, so an article meets one row and the result
+    does not grow with the square of a name.  An exact name implies the normalised
+    one, so exact names only matter where the normal form is empty.
     """
-    left = extracted.select("article_id", "victim_org_name", "victim_org_normalized")
-    right = events.filter(F.col("victim_org_name").isNotNull() | F.col("victim_org_normalized").isNotNull())
-    by_key = left.filter(F.col("victim_org_normalized").isNotNull()).join(
-        right.select("event_id", "victim_org_normalized", F.col("victim_org_name").alias("event_victim")),
-        "victim_org_normalized").select("article_id", "event_id", F.lit(1.0).alias("match_score"))
-    by_name = left.filter(F.col("victim_org_normalized").isNull()).join(
-        right.filter(F.col("victim_org_normalized").isNull()).select("event_id", "victim_org_name"),
-        "victim_org_name").select("article_id", "event_id", F.lit(0.95).alias("match_score"))
-    return by_key.unionByName(by_name)
+    def matched(column: str, only: Column, score: float) -> DataFrame:
+        left = extracted.filter(F.col(column).isNotNull() & only).select("article_id", column)
+        sizes = left.groupBy(column).agg(F.count("*").alias("n_articles"))
+        least = events.filter(F.col(column).isNotNull() & only).groupBy(column).agg(F.min("event_id").alias("event_id"))
+        joined = join_unique(left, least.join(sizes, column), column, "n_articles", "article_id")
+        return joined.filter("event_id is not null").select("article_id", "event_id", F.lit(score).alias("match_score"))
+    no_key = F.col("victim_org_normalized").isNull()
+    return matched("victim_org_normalized", F.lit(True), 1.0).unionByName(matched("victim_org_name", no_key, 0.95))
 
 
 MATCH_THRESHOLD = 0.8
@@ -131,7 +130,7 @@ def alias_groups(events: DataFrame) -> DataFrame:
     keyed = named.withColumn("alias_key", F.concat_ws("\u0001", "acronym", "country", "attack_type"))
     groups = keyed.groupBy("alias_key").agg(F.min("event_id").alias("resolved_event_id"), F.count("*").alias("group_size"))
     return join_unique(keyed, groups, "alias_key", "group_size", "event_id").select(
-        "event_id", "acronym", "country", "attack_type", "resolved_event_id", "group_size")
+        "event_id", "acronym", "country", "attack_type", "resolved_event_id", "group_size", "event_id")
 
 
 def resolve_aliases(events: DataFrame) -> DataFrame:

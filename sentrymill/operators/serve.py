@@ -28,6 +28,12 @@ def days_before(as_of: datetime | Column, days: int) -> Column:
     return at(as_of) - F.expr(f"INTERVAL {days} DAYS")
 
 
+def since(events: DataFrame, as_of: datetime | Column, days: int) -> Column:
+    """Within so many days before as_of, which itself is the last moment that counts."""
+    moment = reference_time(events)
+    return (moment >= days_before(as_of, days)) & (moment <= at(as_of))
+
+
 def reference_time(events: DataFrame) -> Column:
     """Last seen, else first seen, updated or created."""
     return F.coalesce(*[F.col(n) for n in ("last_seen_at", "first_seen_at", "updated_at", "created_at")
@@ -51,7 +57,7 @@ def filtered_events(events: DataFrame, as_of: datetime | Column | None = None, i
     if high_trust:
         out = out.filter(F.col("confidence_score") >= HIGH_TRUST)
     if time_range in TIME_RANGES:
-        out = out.filter(reference_time(out) >= days_before(as_of, TIME_RANGES[time_range]))
+        out = out.filter(since(out, as_of, TIME_RANGES[time_range]))
     return out
 
 
@@ -203,7 +209,7 @@ def summary_cards(events: DataFrame, as_of: datetime | Column) -> DataFrame:
         F.count("*").alias("total_events"),
         F.count_if(c("confidence_score") >= HIGH_TRUST).alias("high_trust_events"),
         F.count_if("is_high_impact").alias("high_impact_events"),
-        F.count_if(reference_time(events) >= days_before(as_of, 1)).alias("new_today_events"),
+        F.count_if(since(events, as_of, 1)).alias("new_today_events"),
         F.count_if(c("event_status") == "confirmed").alias("confirmed_events"),
         F.count_if(c("event_status") == "emerging").alias("emerging_events"))
     # Three results of one row each.
@@ -213,12 +219,11 @@ def summary_cards(events: DataFrame, as_of: datetime | Column) -> DataFrame:
 
 def rising_attack_types(events: DataFrame, as_of: datetime | Column, limit: int = 5) -> DataFrame:
     """Attack types of the last week against the week before, largest increase first."""
-    ref = reference_time(events)
-    week, fortnight = days_before(as_of, 7), days_before(as_of, 14)
+    week = reference_time(events) >= days_before(as_of, 7)
     counted = (
-        events.filter((ref >= fortnight) & (F.col("attack_type") != "") & ~is_unknown(F.col("attack_type")))
+        events.filter(since(events, as_of, 14) & (F.col("attack_type") != "") & ~is_unknown(F.col("attack_type")))
         .groupBy(F.col("attack_type").alias("label"))
-        .agg(F.count_if(ref >= week).alias("current"), F.count_if(ref < week).alias("previous"))
+        .agg(F.count_if(week).alias("current"), F.count_if(~week).alias("previous"))
         .filter("current > 0"))
     return (counted.withColumns({"delta": F.col("current") - F.col("previous"), "is_new": F.col("previous") == 0})
             .orderBy(F.desc("delta"), F.desc("current"), F.lower("label"), "label").limit(limit))
@@ -226,7 +231,7 @@ def rising_attack_types(events: DataFrame, as_of: datetime | Column, limit: int
 
 def active_actors(events: DataFrame, as_of: datetime | Column, limit: int = 5) -> DataFrame:
     """Actors of the last week by number of events; ties by name."""
-    recent = events.filter((reference_time(events) >= days_before(as_of, 7)) & (F.col("actor_name") != "")
+    recent = events.filter(since(events, as_of, 7) & (F.col("actor_name") != "")
                            & ~is_unknown(F.col("actor_name")))
     return (recent.groupBy(F.col("actor_name").alias("label")).agg(F.count("*").alias("n_events"))
             .orderBy(F.desc("n_events"), "label").limit(limit))

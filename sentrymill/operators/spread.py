@@ -1,7 +1,7 @@
 """Joins and ordered windows that do not send a hot key to one task.
 
 A key may hold a large share of all rows.  `join_unique` keeps such keys out of
-the shuffle of the big side, and the ordered helpers cut every group into
+one task of the big side's shuffle, and the ordered helpers cut every group into
 buckets of bounded size and stitch the buckets together afterwards.
 """
 
@@ -25,16 +25,18 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, size_col: str, spre
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join to a side with one row per key that knows the group size.
 
-    `size_col` of the right side is the number of left rows of the key.  Keys
-    above `hot_rows` are broadcast; their left rows are spread over the shuffle
-    of the second join, where they match nothing.
+    `size_col` of the right side is the number of left rows of the key.  Left rows of
+    keys above `hot_rows` meet their broadcast row where they are; in the shuffle of the
+    second join they and rows without a key match nothing and are spread by a salt.
     """
     values = [c for c in right.columns if c != key]
     hot = right.filter(F.col(size_col) > hot_rows).select(key, F.struct(*values).alias("_hot"))
-    cold = right.filter(F.col(size_col) <= hot_rows).select(
-        key, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
+    # Always 0, but worked out from the row: a literal would be moved out of the join keys.
+    salt = F.when(F.col(size_col) < 0, 1).otherwise(0)
+    cold = right.filter(F.col(size_col) <= hot_rows).select(key, F.struct(*values).alias("_cold"), salt.alias("_salt"))
+    spread = 1 + F.pmod(F.xxhash64(spread_col), F.lit(1024)).cast("int")
     salted = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread_col), F.lit(1024)).cast("int")))
+        "_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(spread))
     joined = salted.join(cold, [key, "_salt"], "left")
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
     return joined.select(*[F.col(c) for c in left.columns], *[found[v].alias(v) for v in values])

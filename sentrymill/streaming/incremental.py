@@ -49,6 +49,18 @@ def first_by_url(stream: DataFrame, delay: str = "7 days", time_col: str = "fetc
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["article_url"])
 
 
+def least_by_url(stream: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """The least id per address; run in update mode, the last row of an address holds."""
+    return stream.groupBy("article_url").agg(F.min(id_col).alias(id_col))
+
+
+def update_sink(out_path: str):
+    """foreachBatch function: the rows that each epoch changed."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+    return write
+
+
 def extraction_sink(out_path: str):
     """foreachBatch function: verdicts and extraction of each batch, no state."""
     def write(batch: DataFrame, epoch: int) -> None:

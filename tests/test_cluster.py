@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sentrymill.operators import cluster as CL
 from sentrymill.operators.spread import join_unique, neighbour_text
 from sentrymill.streaming.incremental import open_events
@@ -53,8 +55,27 @@ def test_batches_attach_to_open_events(spark):
 def test_join_unique_covers_hot_and_cold_keys(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(90)], "id bigint, k string")
     right = left.groupBy("k").count().withColumnRenamed("count", "n")
+    left = left.unionByName(spark.createDataFrame([(200, None)], left.schema))
     got = join_unique(left, right, "k", "n", "id", hot_rows=10).collect()
-    assert len(got) == 90 and {(r["k"] == "hot", r["n"]) for r in got} == {(True, 60), (False, 1)}
+    assert len(got) == 91 and {(r["k"], r["n"]) for r in got if r["id"] % 3} == {("hot", 60), (None, None)}
+
+
+def test_join_unique_spreads_hot_rows(spark, tmp_path):
+    """Nine rows of ten share a key, or have none; no task gets them all."""
+    for hot in ("'hot'", "null"):
+        path = str(tmp_path / hot.strip("'"))
+        spark.range(20_000).selectExpr("id", f"if(id % 10 = 0, concat('k', id), {hot}) as k").write.parquet(path)
+        left = spark.read.parquet(path)
+        joined = join_unique(left, left.groupBy("k").agg(F.count("*").alias("n")), "k", "n", "id", hot_rows=1000)
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            rows = joined.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert sum(r["count"] for r in rows) == 20_000 and max(r["count"] for r in rows) < 4000
 
 
 @pytest.mark.parametrize("width", [7, 1000])
