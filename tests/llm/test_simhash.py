@@ -97,5 +97,5 @@ def test_similar_documents_are_linked_and_others_are_not(spark):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, fingerprint string")
     kept = {r.doc_id for r in simhash.near_dedup(docs).collect()}
     assert {i for i in kept if i < 1000} == set(range(60)) and {i for i in kept if i >= 2000} == set(range(2000, 2060))
-    assert len([i for i in kept if 1000 <= i < 2000]) <= 1
+    assert len([i for i in kept if 1000 <= i < 2000]) <= 2
     assert simhash.near_dedup(docs).columns == docs.columns
