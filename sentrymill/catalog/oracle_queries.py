@@ -430,3 +430,78 @@ add("x5_sliding_windows", [
     "starts AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-20', TIMESTAMP '2024-02-10', INTERVAL 1 DAY)) AS window_start)"],
     "SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, event_type AS label, count(*) AS n_rows FROM events JOIN starts ON ts >= window_start AND ts < window_start + INTERVAL 7 DAY GROUP BY ALL")
 add("x6_first_last_seen", [], "SELECT user_id, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM events GROUP BY 1")
+
+# -- landed feeds -------------------------------------------------------------------------------------------------
+_FEED_URL = "coalesce(CASE WHEN article_id % 3 > 0 THEN article_url END, CASE WHEN article_id % 7 > 0 THEN article_url END)"
+add("s3_feed_entries", BASE,
+    f"SELECT {_FEED_URL} AS article_url, source_name, CASE WHEN article_id % 5 = 0 THEN 'Feed' ELSE source_name END AS publisher, trim(title) AS title, "
+    f"CASE WHEN source_name <> {q(G.ADVISORY_SOURCE)} THEN trim(summary) || ' & more' WHEN length(trim(regexp_extract(trim(summary) || ' & more', '(.+?[.!?])(?:\\s|$)', 1))) >= 40 "
+    "THEN trim(regexp_extract(trim(summary) || ' & more', '(.+?[.!?])(?:\\s|$)', 1)) ELSE trim(title) || ' vulnerability advisory from CISA.' END AS summary, "
+    f"published_at, r.ingest_type AS source_type FROM articles LEFT JOIN reg r USING (source_name) WHERE {_FEED_URL} IS NOT NULL")
+add("s4_catalogue", BASE,
+    "SELECT (SELECT url FROM reg WHERE source_name = " + q(G.CATALOGUE_SOURCE) + ") || '#CVE-2024-' || article_id AS article_url, "
+    "trim(org) || ' Mail Code Injection (CVE-2024-' || article_id || ')' AS title, CAST(published_at AS DATE)::TIMESTAMP AS published_at, "
+    "CASE WHEN floor(date_diff('second', CAST(published_at AS DATE)::TIMESTAMP, TIMESTAMP '1998-08-02') / 86400) <= 90 THEN 'young' ELSE 'aged' END AS side FROM articles")
+add("s11_ingest_to_store", BASE,
+    f"SELECT {_FEED_URL} AS article_url, arg_min(source_name, (published_at, source_name, trim(title))) AS source_name, arg_min(trim(title), (published_at, source_name, trim(title))) AS title, "
+    "arg_min(trim(summary) || ' & more', (published_at, source_name, trim(title))) AS content, min(published_at) AS published_at, "
+    f"true AS has_id FROM articles WHERE source_name IN ('bleepingcomputer', 'krebsonsecurity') AND {_FEED_URL} IS NOT NULL GROUP BY 1")
+add("s16_run_row", [], "SELECT true AS success, CAST(NULL AS VARCHAR) AS error, 'attribute,cluster,extract,merge,process' AS stages, true AS in_order")
+add("s15_missing_groups", [
+    NAMES,
+    "export AS (SELECT s_suppkey AS position, CASE WHEN s_suppkey % 5 = 0 THEN 'LockBit' ELSE 'Group ' || (s_suppkey // 2) END AS canonical, "
+    "CASE WHEN s_suppkey % 7 = 0 THEN 'ALPHV' ELSE s_name END AS alias FROM supplier)",
+    "fresh AS (SELECT * FROM export WHERE lower(canonical) NOT IN (SELECT lower(alias) FROM actor_names) AND lower(alias) NOT IN (SELECT lower(alias) FROM actor_names))"],
+    "SELECT arg_min(canonical, position) AS canonical, arg_min(alias, position) AS aliases, 'nation_state' AS actor_type FROM fresh GROUP BY lower(canonical)")
+_STATUS = ("CASE WHEN l.article_id IS NOT NULL THEN 'clustered' WHEN starts_with(decision, '+') THEN 'ready_for_extraction' ELSE 'irrelevant' END")
+add("q17_forced_stages", CLUSTERED + [
+    f"st AS (SELECT d.article_id, {_STATUS} AS s FROM decided d LEFT JOIN linked l USING (article_id))",
+    "reads(stage, forced, s) AS (VALUES ('process', false, 'pending'), ('process', true, 'irrelevant'), ('process', true, 'ready_for_extraction'), ('process', true, 'clustered'), "
+    "('extract', false, 'ready_for_extraction'), ('extract', true, 'ready_for_extraction'), ('extract', true, 'clustered'), ('cluster', true, 'clustered'))"],
+    "SELECT article_id, stage, forced FROM st JOIN reads USING (s)")
+add("t2_html_text", [], f"SELECT page_id, md5({clean_html('html')}) AS text_md5 FROM pages")
+_SQUEEZED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+add("t5_advisory_summary", [
+    f"cleaned AS (SELECT doc_id, source, {_SQUEEZED.format(clean_html('text'))} AS t FROM documents)",
+    "firsts AS (SELECT doc_id, source, trim(regexp_extract(t, '(.+?[.!?])(?:\\s|$)', 1)) AS f FROM cleaned)"],
+    "SELECT doc_id, md5(CASE WHEN length(f) >= 40 THEN f ELSE source || ' vulnerability advisory from CISA.' END) AS summary_md5 FROM firsts")
+_CAT = ("cat AS (SELECT article_id, CASE WHEN article_id % 5 > 0 THEN org ELSE '' END AS vendor, CASE article_id % 3 WHEN 0 THEN org WHEN 1 THEN 'Mail' ELSE '' END AS product, "
+        "'CVE-2024-' || article_id AS cve FROM articles)")
+add("t6_catalogue_title", BASE + [
+    _CAT,
+    "shown AS (SELECT *, coalesce(nullif(trim(concat_ws(' ', nullif(vendor, ''), CASE WHEN product <> '' AND lower(product) <> lower(vendor) THEN product END)), ''), 'KEV Entry') AS display FROM cat)"],
+    "SELECT article_id, display, display || ' ' || CASE article_id % 4 WHEN 0 THEN 'Vulnerability' WHEN 1 THEN 'Code Injection' ELSE 'Overflow' END || ' (' || cve || ')' AS title FROM shown")
+add("t7_catalogue_summary", [
+    f"dt AS (SELECT doc_id, source, lang, {_SQUEEZED.format('CASE doc_id % 4 WHEN 0 THEN ' + q('') + ' WHEN 1 THEN translate(text, ' + q('.!?') + ', ' + q('') + ') ELSE text END')} AS t FROM documents)",
+    "dp AS (SELECT *, regexp_extract_all(t, '(.+?[.!?])(?:\\s|$)', 1) AS p, rtrim(substr(t, 1, 320)) AS cut FROM dt)"],
+    "SELECT doc_id, md5(CASE WHEN t = '' THEN source || ' was added to the CISA KEV catalog under ' || lang || '.' WHEN len(p) > 0 THEN trim(array_to_string(p[1:2], '  ')) "
+    "WHEN length(t) > 320 THEN rtrim(CASE WHEN contains(cut, ' ') THEN regexp_replace(cut, '(?s) [^ ]*$', '') ELSE cut END, ' ,;:') || '.' ELSE t END) AS summary_md5 FROM dp")
+add("t8_catalogue_content", BASE + [_CAT],
+    "SELECT article_id, concat_ws(' ', 'Short.', 'CVE: ' || cve, CASE WHEN vendor <> '' THEN 'Vendor: ' || vendor END, CASE WHEN product <> '' THEN 'Product: ' || product END, "
+    "'Catalog version: 7') AS content FROM cat")
+_HINT = "CASE " + " ".join(f"WHEN i = {q(k)} THEN {q(v)}" for k, v in G.INDUSTRY_HINT.items()) + " ELSE '' END"
+add("t11_filing_hints", BASE + [f"sic AS (SELECT article_id, {_SIC} AS i FROM articles)"],
+    f"SELECT article_id, {_HINT} AS industry_hint, CASE WHEN article_id % 4 IN (0, 2) THEN {q(G.US_HINT)} ELSE '' END AS state_hint FROM sic")
+add("t12_filing_url", BASE, "SELECT article_id, CASE WHEN article_id % 4 > 0 AND article_id % 5 > 0 THEN 'https://www.sec.gov/Archives/edgar/data/' || article_id || '/' || "
+    "lpad(article_id::VARCHAR, 10, '0') || '24000001/' || lpad(article_id::VARCHAR, 10, '0') || '-24-000001-index.htm' "
+    "ELSE 'https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK=' || CASE WHEN article_id % 4 = 0 THEN '' ELSE lpad(article_id::VARCHAR, 10, '0') END || '&type=8-K' END AS url FROM articles")
+_SECTION = (r"Item\s*1\.05[\.\s]*Material\s+Cybersecurity\s+Incidents?[\.\s]*(.+?)(?:Item\s+\d+\.\d+\b|SIGNATURES?\b|\bPursuant to the requirements\b)")
+add("t14_disclosure_excerpt", [
+    "fd AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<p>Cover. Item 1.05 Material Cybersecurity Incidents. ' || text || '</p> SIGNATURES None.' "
+    "WHEN 1 THEN text || ' The incident was found. ' || text ELSE text END AS d FROM documents)",
+    f"ft AS (SELECT doc_id, {_SQUEEZED.format(clean_html('d'))} AS t FROM fd)",
+    f"fs AS (SELECT doc_id, trim(regexp_extract(t, {q('(?is)' + _SECTION)}, 1)) AS sec, {SPLIT.format('t')} AS s FROM ft)",
+    f"fa AS (SELECT *, list_position(list_transform(s, lambda x: {rx('x', G.DISCLOSURE_TERMS)}), true) AS spot FROM fs)",
+    "fb AS (SELECT *, CASE WHEN spot > 0 THEN trim(array_to_string(s[spot:], ' ')) END AS b FROM fa)"],
+    "SELECT doc_id, md5(CASE WHEN length(sec) >= 80 THEN sec WHEN length(b) >= 100 THEN b END) AS excerpt_md5 FROM fb")
+add("e10_guarded_actor", ATTRIBUTED, "SELECT event_id, CASE WHEN victim_org_name <> '' AND actor_name <> '' THEN actor_name END AS actor_name, "
+    "CASE WHEN victim_org_name <> '' AND actor_name <> '' THEN actor_type END AS actor_type, "
+    "CASE WHEN victim_org_name <> '' AND actor_name <> '' AND event_id % 3 <> 0 AND attribution_status <> 'unknown' THEN attribution_status END AS attribution_status FROM att")
+_KEEPS = "victim_org_name IS NOT NULL AND event_signal_type = 'incident'"
+add("m19_kept_actors", MERGED, f"SELECT event_id, CASE WHEN {_KEEPS} THEN 'Group ' || (event_id % 5) END AS actor_name, CASE WHEN {_KEEPS} THEN 'criminal' END AS actor_type, "
+    f"CASE WHEN {_KEEPS} THEN 'suspected' END AS attribution_status FROM ev")
+_X3 = ORACLE["x3_incremental_cluster"]
+_X3_CTES, _, _X3_SELECT = _X3.rpartition("\nSELECT ")
+ORACLE["c8_upsert"] = (_X3_CTES + f",\nx3 AS (SELECT {_X3_SELECT})\n"
+                       "SELECT d.article_id, event_id, CASE WHEN NOT starts_with(decision, '+') THEN 'irrelevant' WHEN event_id <> d.article_id THEN 'merged' ELSE 'created' END AS event_action "
+                       f"FROM decided d LEFT JOIN x3 USING (article_id) WHERE NOT ({_OLD})")

@@ -8,6 +8,7 @@ read them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from ..rules import registry as G
 from ..rules import relevance as R
 from ..sources import landed as LD
 from ..sources import store as ST
-from ..sources.actors import actor_dictionary, actor_names
+from ..sources.actors import actor_dictionary, actor_names, missing_groups
 from ..sources.registry import source_registry, with_source
 from ..streaming import incremental as INC
 
@@ -358,6 +359,141 @@ def t33_sentences(t):
                                        F.md5(F.array_join(T.sentences(c("text")), "|")).alias("sentences_md5"))
 
 
+# -- landed feeds ------------------------------------------------------------------------------
+FETCHED_AT = "2002-01-01 10:20:30"
+
+
+def _land(t, frame: DataFrame, name: str) -> str:
+    path = _scratch(t, name)
+    frame.write.json(path)
+    return path
+
+
+def _feed_lines(t, where=None) -> DataFrame:
+    """Articles as feed entries: some without link, some with markup."""
+    rows = t.articles if where is None else t.articles.filter(where)
+    return rows.select(
+        "source_name", F.when(c("article_id") % 5 == 0, F.lit("<i>Feed</i>")).alias("feed_title"),
+        F.when(c("article_id") % 3 > 0, c("article_url")).alias("link"), F.when(c("article_id") % 7 > 0, c("article_url")).alias("id"),
+        F.concat(F.lit("<b>"), "title", F.lit("</b>")).alias("title"), F.concat("summary", F.lit(" &amp; more")).alias("summary"),
+        F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss").alias("published"))
+
+
+@query
+def s3_feed_entries(t):
+    entries = LD.read_feed_entries(t.spark, _land(t, _feed_lines(t), "s3"))
+    return LD.feed_articles(entries, F.lit(FETCHED_AT).cast("timestamp_ntz")).select(
+        "article_url", "source_name", "publisher", "title", "summary", "published_at", "source_type")
+
+
+@query
+def s4_catalogue(t):
+    """Catalogue entries from the corpus, one landed document each, and who is young enough."""
+    entry = F.struct(
+        F.concat(F.lit("CVE-2024-"), c("article_id").cast("string")).alias("cveID"), c("org").alias("vendorProject"), F.lit("Mail").alias("product"),
+        F.concat("org", F.lit(" Mail - Code Injection")).alias("vulnerabilityName"), c("summary").alias("shortDescription"),
+        F.date_format("published_at", "yyyy-MM-dd").alias("dateAdded"))
+    lines = t.articles.select(F.lit("7").alias("catalogVersion"), F.array(entry).alias("vulnerabilities"))
+    landed = t.spark.read.schema(LD.schema.CATALOGUE).json(_land(t, lines, "s4"))
+    fresh, aged = LD.split_by_age(LD.catalogue_articles(landed, F.lit("1998-08-02 00:00:00").cast("timestamp_ntz")))
+    return fresh.select("article_url", "title", "published_at", F.lit("young").alias("side")).unionByName(
+        aged.select("article_url", "title", "published_at", F.lit("aged").alias("side")))
+
+
+@query
+def s11_ingest_to_store(t):
+    """Two landed feeds through ingest, ids and store: what the pipeline starts from."""
+    names = ("bleepingcomputer", "krebsonsecurity")
+    paths = {n: _land(t, _feed_lines(t, c("source_name") == n).drop("source_name"), f"s11-{n}") for n in names}
+    articles, _ = pipeline.collect_articles(t.spark, paths, datetime(2002, 1, 1, 10, 20, 30))
+    return articles.select("article_url", "source_name", "title", "content", "published_at", (c("article_id") >= 0).alias("has_id"))
+
+
+@query
+def s16_run_row(t):
+    return pipeline.run(t.articles, t.dictionary).run_row.select(
+        "success", "error", F.array_join(F.array_sort(F.map_keys("stage_seconds")), ",").alias("stages"), (c("finished_at") >= c("started_at")).alias("in_order"))
+
+
+@query
+def s15_missing_groups(t):
+    """Suppliers as an exported list of groups; some names or aliases are known, names repeat."""
+    key = c("s_suppkey")
+    export = t.table("supplier").select(
+        key.alias("position"), F.when(key % 5 == 0, F.lit("LockBit")).otherwise(F.concat(F.lit("Group "), F.floor(key / 2).cast("string"))).alias("canonical"),
+        F.array(F.when(key % 7 == 0, F.lit("ALPHV")).otherwise(c("s_name"))).alias("aliases"))
+    return missing_groups(t.dictionary, export).select("canonical", F.array_join("aliases", ",").alias("aliases"), "actor_type")
+
+
+@query
+def q17_forced_stages(t):
+    status = ST.derived_status(t.decided, t.linked)
+    parts = [ST.stage_input(status, s, force).select("article_id", F.lit(s).alias("stage"), F.lit(force).alias("forced"))
+             for s in ("process", "extract", "cluster") for force in (False, True)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query
+def t2_html_text(t):
+    return t.table("pages").select("page_id", F.md5(T.html_to_text(c("html"))).alias("text_md5"))
+
+
+@query
+def t5_advisory_summary(t):
+    text = F.when(c("doc_id") % 2 == 0, F.concat(F.lit(" View CSAF Summary "), "text")).otherwise(c("text"))
+    return t.table("documents").select("doc_id", F.md5(T.advisory_summary(c("source"), text)).alias("summary_md5"))
+
+
+def _catalogue_names(t) -> DataFrame:
+    vendor = F.when(c("article_id") % 5 > 0, c("org")).otherwise(F.lit(""))
+    product = F.when(c("article_id") % 3 == 0, c("org")).when(c("article_id") % 3 == 1, F.lit("Mail")).otherwise(F.lit(""))
+    return t.articles.select("article_id", vendor.alias("vendor"), product.alias("product"), F.concat(F.lit("CVE-2024-"), c("article_id").cast("string")).alias("cve"))
+
+
+@query
+def t6_catalogue_title(t):
+    rows = _catalogue_names(t).withColumn("display", T.catalogue_display_name(c("vendor"), c("product")))
+    name = F.when(c("article_id") % 4 == 0, F.lit("")).when(c("article_id") % 4 == 1, F.concat("display", F.lit(" - Code  Injection"))).otherwise(F.lit("Overflow"))
+    return rows.select("article_id", "display", T.catalogue_title(c("display"), name, c("cve")).alias("title"))
+
+
+@query
+def t7_catalogue_summary(t):
+    description = F.when(c("doc_id") % 4 == 0, F.lit("")).when(c("doc_id") % 4 == 1, F.translate("text", ".!?", "")).otherwise(c("text"))
+    return t.table("documents").select("doc_id", F.md5(T.catalogue_summary(c("source"), c("lang"), description)).alias("summary_md5"))
+
+
+@query
+def t8_catalogue_content(t):
+    return _catalogue_names(t).select("article_id", T.catalogue_content(F.lit("Short."), c("cve"), c("vendor"), c("product"), F.lit("7")).alias("content"))
+
+
+@query
+def t11_filing_hints(t):
+    states = F.array(*[F.lit(s) for s in ("GA", "X0", "CA", "")])
+    return t.articles.select("article_id", T.industry_hint(T.sic_industry((c("article_id") % 10000).cast("string"))).alias("industry_hint"),
+                             T.state_hint(F.get(states, (c("article_id") % 4).cast("int"))).alias("state_hint"))
+
+
+@query
+def t12_filing_url(t):
+    cik = F.when(c("article_id") % 4 == 0, F.lit("")).otherwise(F.lpad(c("article_id").cast("string"), 10, "0"))
+    accession = F.when(c("article_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lpad(c("article_id").cast("string"), 10, "0"), F.lit("-24-000001")))
+    return t.articles.select("article_id", T.filing_url(cik, accession).alias("url"))
+
+
+@query
+def t14_disclosure_excerpt(t):
+    """Whole documents as filings: with the section, with a relevant sentence, with neither."""
+    section = F.concat(F.lit("<p>Cover. Item 1.05 Material Cybersecurity Incidents. "), "text", F.lit("</p> SIGNATURES None."))
+    relevant = F.concat("text", F.lit(" The incident was found. "), "text")
+    document = F.when(c("doc_id") % 3 == 0, section).when(c("doc_id") % 3 == 1, relevant).otherwise(c("text"))
+    return t.table("documents").select("doc_id", F.md5(T.disclosure_excerpt(document)).alias("excerpt_md5"))
+
+
 # -- relevance -------------------------------------------------------------------------------
 INJECTED = [("article", ["the ", "and "]), ("german", ["der ", "die ", "und "]), ("french", ["les ", "dans"]), ("spanish", ["los ", "que "])]
 
@@ -470,6 +606,12 @@ def e25_extraction(t):
     return t.extracted.select("article_id", *EX.EXTRACTION_COLUMNS)
 
 
+@query
+def e10_guarded_actor(t):
+    status = F.when(c("event_id") % 3 == 0, F.lit("unknown")).otherwise(c("attribution_status"))
+    return t.attributed.select("event_id", *[v.alias(n) for n, v in EX.guarded_actor(c("victim_org_name"), c("actor_name"), c("actor_type"), status).items()])
+
+
 # -- joins and clustering ------------------------------------------------------------------------------
 @query
 def j3_candidates(t):
@@ -586,6 +728,23 @@ def m18_zombie_events(t):
     return MG.merge_events(marked).select("event_id", "source_count", "victim_org_name", "attack_type", "confidence_score")
 
 
+@query
+def m19_kept_actors(t):
+    """Every event had an actor before; a merge keeps it on incidents with a victim only."""
+    before = t.attributed.withColumns({"actor_name": F.concat(F.lit("Group "), (c("event_id") % 5).cast("string")), "actor_type": F.lit("criminal"),
+                                       "attribution_status": F.lit("suspected")}).drop("considered", "changed")
+    return MG.merge_events(t.linked, before).select("event_id", "actor_name", "actor_type", "attribution_status")
+
+
+@query
+def c8_upsert(t):
+    """Newer articles against links and events of the older ones."""
+    old = c("published_at") < F.lit("1998-06-01").cast("timestamp_ntz")
+    links = staged(INC.attach_batch(t.extracted.filter(old), None), "c8-links")
+    events = staged(MG.merge_events(links), "c8-events")
+    return INC.upsert_articles(t.articles.filter(~old), links, events, t.dictionary)[2]
+
+
 # -- attribution --------------------------------------------------------------------------------------------
 def _occurrences(t):
     found, _ = AT.scanned_occurrences(t.events, t.linked, AT.prepare_names(t.dictionary))

@@ -152,11 +152,6 @@ def stale_filings(articles: DataFrame, valid: DataFrame) -> DataFrame:
     return filings.join(valid.select("accession").distinct(), "accession", "left_anti").select("article_id", "accession")
 
 
-def templated_filings(articles: DataFrame) -> DataFrame:
-    return articles.filter((F.col("source_name") == G.FILING_SOURCE)
-                           & F.contains("content", F.lit(G.FILING_TEMPLATE_MARK))).select("article_id")
-
-
 def remove_with_cascade(articles: DataFrame, links: DataFrame, events: DataFrame,
                         removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Articles, links and events after removing articles; events without links go."""

@@ -29,7 +29,6 @@ REGION_COUNTRIES = [
     ("North America", ["Costa Rica", "Panama", "Cuba", "Dominican Republic", "Jamaica"]),
     ("South America", ["Venezuela", "Ecuador", "Bolivia", "Uruguay", "Paraguay"]),
 ]
-COUNTRY_REGION = {c: region for region, countries in REGION_COUNTRIES for c in countries}
 CANONICAL_REGIONS = ["North America", "Europe", "South America", "Asia", "Oceania", "Global"]
 
 # -- fixed values: country terms in text, (terms, country, region) ---------------------

@@ -25,10 +25,6 @@ SOURCES = [
      "https://efts.sec.gov/LATEST/search-index?q=%22material+cybersecurity+incident%22&forms=8-K",
      "official", True, True),
 ]
-SOURCE_COLUMNS = (
-    "source_name", "display_label", "source_class", "signal_kind", "ingest_type", "url",
-    "tier", "tier_trusted_alone", "active",
-)
 FILING_SOURCE = "sec-edgar-cyber-8k"
 CATALOGUE_SOURCE = "cisa-kev"
 ADVISORY_SOURCE = "cisa-alerts-advisories"

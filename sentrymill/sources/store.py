@@ -28,6 +28,16 @@ def with_allowed_source(rows: DataFrame, url_col: str = "url", domains: DataFram
     return marked.withColumn("domain_status", F.when(F.col("source_name").isNull(), F.lit("domain_not_allowed")).otherwise(F.lit("ok")))
 
 
+def with_article_ids(batch: DataFrame) -> DataFrame:
+    """One row per address with article_id: a hash of the address, the same in every run.
+
+    Of rows with one address the earliest stays, then the least source and title.
+    """
+    first = F.min_by(F.struct(*batch.columns), F.struct("published_at", "source_name", "title"))
+    return batch.groupBy(F.pmod(F.xxhash64("article_url"), F.lit(1 << 62)).alias("article_id")).agg(first.alias("_first")).select(
+        "article_id", "_first.*")
+
+
 def new_by_url(batch: DataFrame, stored: DataFrame | None = None, order_col: str = "article_id") -> DataFrame:
     """Rows whose address is not stored yet; the first row of an address wins.
 

@@ -4,6 +4,8 @@ import pytest
 from compare import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from sentrymill.catalog.oracle_queries import ORACLE
+from sentrymill.catalog.queries import QUERIES
 
 SF = "sf0.001"
 
@@ -14,12 +16,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, name, queries()[name], oracle_sql()[name], SF) is None
+    assert compare(spark, con, name, QUERIES[name], ORACLE[name], SF) is None
 
 
 def test_entry(spark):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrymill import schema
+from sentrymill.plans import pipeline
 from sentrymill.sources import actors, landed, store
 from sentrymill.sources.registry import source_registry
 
@@ -101,6 +102,26 @@ def test_ingest_dispatch(spark, tmp_path):
     assert landed.ingest(spark, {}, NOW).count() == 0
 
 
+def test_ingest_to_pipeline(spark, tmp_path):
+    """Landed feeds run through ids, store and enrichment into the batch pipeline; a failed run is logged too."""
+    runs = str(tmp_path / "runs")
+    lines = [dict(link=f"https://a/{i}", title=f"Acme{i} Ltd hit by ransomware attack", summary="Hackers stole customer data.", published="2025-04-30T10:00:00")
+             for i in range(3)]
+    paths = {"bleepingcomputer": write(tmp_path / "f.json", *lines, lines[0])}
+    bodies = spark.createDataFrame([("https://a/1", "long body " * 3000)], "article_url string, body string")
+    articles, aged = pipeline.collect_articles(spark, paths, NOW, bodies=bodies, max_age_days=90)
+    assert articles.count() == 3 and aged.count() == 0
+    again, _ = pipeline.collect_articles(spark, paths, NOW, stored=articles)
+    assert {r["article_id"] for r in again.collect()} == {r["article_id"] for r in articles.collect()}
+    assert max(len(r["content"]) for r in articles.collect()) > 20_000
+    result = pipeline.run(articles, runs_path=runs)
+    assert result.links.count() == 3 and result.run_row.first()["success"]
+    with pytest.raises(Exception):
+        pipeline.run(articles.drop("title"), runs_path=runs)
+    logged = spark.read.schema(schema.RUNS).parquet(runs).orderBy("started_at").collect()
+    assert [(r["success"], r["error"] is None) for r in logged] == [(True, True), (False, False)]
+
+
 def test_insert_and_enrich(spark):
     stored = spark.createDataFrame([(1, "u1", "rss", "old", False)], "article_id bigint, article_url string, source_type string, content string, content_enriched boolean")
     batch = spark.createDataFrame([(5, "u2", "rss", "five", False), (4, "u2", "rss", "four", False), (6, "u1", "rss", "six", False), (7, "u3", "json", "t", False),
