@@ -30,7 +30,8 @@ def _shape(text_col: str, prefix_chars: int) -> list[Column]:
 
 def shared_shapes(shapes: DataFrame) -> DataFrame:
     """The (length, prefix) keys that more than one row has: lengths first, prefixes only of lengths that repeat."""
-    lengths = shapes.groupBy("_length").count().filter("count > 1").select("_length")
+    # Written, so that Spark can split the join at a length that very many texts have.
+    lengths = staged(shapes.groupBy("_length").count().filter("count > 1").select("_length"), "exact_lengths")
     return (shapes.join(lengths, "_length", "left_semi").groupBy("_length", "_prefix").count().filter("count > 1")
             .select("_length", "_prefix"))
 
