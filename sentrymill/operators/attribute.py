@@ -90,10 +90,14 @@ def occurrences(docs: DataFrame, names: Names) -> DataFrame:
     pairs = pairs.join(table, "first_token").drop("first_token")
     quoted = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])\Q"), "alias", F.lit(r"\E(?![A-Za-z0-9_])"))
     pieces = pairs.withColumn("pieces", F.split("padded_text", quoted)).filter(F.size("pieces") > 1)
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size("pieces") - 1),
-        lambda i: F.aggregate(F.slice("pieces", F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p))
-        + (i - 1) * c("alias_chars"))
+    # One pass over the pieces: the place behind the last name, and where names start so far.
+    starts = F.aggregate(
+        F.slice("pieces", F.lit(1), F.size("pieces") - 1),
+        F.struct(F.lit(0).alias("behind"), F.array().cast("array<int>").alias("starts")),
+        lambda seen, p: F.struct(
+            (seen["behind"] + F.length(p) + c("alias_chars")).alias("behind"),
+            F.concat(seen["starts"], F.array(seen["behind"] + F.length(p))).alias("starts")),
+        lambda seen: seen["starts"])
     found = pieces.withColumn("at", F.explode(starts)).drop("pieces")
     return found.filter((c("at") >= c("own_start")) & (c("at") < c("own_start") + c("own_chars")))
 
