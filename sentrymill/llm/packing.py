@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentrymill.llm.common import body
+from sentrymill.llm.common import Recent, body
 from sentrymill.operators.spread import staged
 
 SIZE = 2048
@@ -60,7 +60,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.cache: dict[str, bytes] = {}
+        self.cache = Recent(CACHE_SIZE)
 
     def learn(self, new: list[str]) -> None:
         """Ids of new words, many in one call: a control sign that no word holds stands between them."""
@@ -71,18 +71,16 @@ class WordTokens:
             ends = np.flatnonzero(ids == self.mark[0])
             blob, begin = ids.tobytes(), 0
             for word, end in zip(own, (4 * ends).tolist(), strict=True):
-                self.cache[word] = blob[begin:end]
+                self.cache.known[word] = blob[begin:end]
                 begin = end + 4
         for word in set(new).difference(plain):
-            self.cache[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            self.cache.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [lookups(t) for t in texts]
-        if len(self.cache) > CACHE_SIZE:
-            self.cache.clear()
-        self.learn(list(set().union(*split).difference(self.cache)))
-        get = self.cache.__getitem__
+        self.learn(list(self.cache.missing(set().union(*split))))
+        get = self.cache.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
