@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentrymill.llm import pretokens
-from sentrymill.llm.common import Recent, body
+from sentrymill.llm.common import body
 
 # Entries of a worker's cache; rows and characters that are worked on at once.
 CACHE_SIZE = 250_000
@@ -45,7 +45,7 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.places = np.cumsum(self.lengths) - self.lengths
-        self.cache = Recent(CACHE_SIZE)
+        self.cache: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token: always the leftmost adjacent pair of the least rank is merged."""
@@ -105,11 +105,12 @@ class Vocabulary:
         starts = pretokens.starts(codepoints, first[:-1])
         cuts = [*starts.tolist(), len(together)]
         pieces = [together[a:b] for a, b in zip(cuts, cuts[1:])]
-        new = self.cache.missing(set(pieces))
-        known = self.cache.known
-        for piece in new:
-            known[piece] = np.array(self.merge(piece.encode()), "<i4").tobytes()
-        blobs = [known[p] for p in pieces]
+        if len(self.cache) > CACHE_SIZE:
+            self.cache.clear()
+        cache = self.cache
+        for piece in set(pieces).difference(cache):
+            cache[piece] = np.array(self.merge(piece.encode()), "<i4").tobytes()
+        blobs = [cache[p] for p in pieces]
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         per_piece = np.concatenate(([0], np.cumsum(sizes)))
         bounds = per_piece[np.searchsorted(starts, ends)]

@@ -12,22 +12,6 @@ SPACES = " \t\n\x0b\f\r"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-class Recent:
-    """Results by key, of which about the last 2 * size used are known; frequent ones stay known."""
-
-    def __init__(self, size: int):
-        self.size, self.known, self.older = size, {}, {}
-
-    def missing(self, keys: set) -> set:
-        """Keys that have to be worked out and put into `known`, so that it holds all of keys."""
-        if len(self.known) > self.size:
-            self.older, self.known = self.known, {}
-        new = keys.difference(self.known)
-        back = new.intersection(self.older)
-        self.known.update((k, self.older[k]) for k in back)
-        return new.difference(back)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
