@@ -33,7 +33,7 @@ from sentrymill.operators.spread import staged
 
 SIZE = 2048
 END_ID = 0
-CACHE_SIZE = 200_000
+CACHE_SIZE = 300_000
 CELLS = 64
 NNLS_ROUNDS = 200
 _MARK = "\x02"
