@@ -63,5 +63,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    # By id and content: another row without an id, or another text with the same id, is no copy.
+    gone = staged(exact_groups(docs, id_col, text_col).filter("NOT kept").select(
+        F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_digest")).distinct(), "exact_gone")
+    content = F.sha2(body(text_col).cast("binary"), 256)
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")) & (content == F.col("_digest")), "left_anti")

@@ -45,3 +45,10 @@ def test_filter(documents, no_documents):
     assert kept.columns == documents.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6, 7, 8, 9, 10, 11, 11]
     assert exact_dedup.exact_dedup(no_documents).count() == 0
+
+
+def test_rows_that_share_only_an_id_with_a_copy_stay(spark):
+    rows = [(None, "copied"), (5, "copied"), (None, "alone"), (None, "alone too"), (1, "twice"), (9, "twice"), (1, "single")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted((tuple(r) for r in exact_dedup.exact_dedup(docs).collect()), key=repr)
+    assert kept == sorted([(5, "copied"), (None, "alone"), (None, "alone too"), (9, "twice"), (1, "single")], key=repr)
