@@ -1,9 +1,7 @@
 """SimHash near-dedup by tiled exact comparison.
 
-Fingerprints that can be near share a group.  With a small radius one of radius + 1
-blocks of bytes must be equal, and no link is missed.  With a wide radius no block has
-to be, so the fingerprint gives many short blocks: a pair is missed only if every one of
-them differs, and the rows grow in proportion to the documents.  Inside a group numpy compares whole tiles by exclusive-or and bit counts; rows are sorted by their
+Fingerprints that can be near share a group: one of radius + 1 blocks of bytes must be
+equal, and no link is missed.  Inside a group numpy compares whole tiles by exclusive-or and bit counts; rows are sorted by their
 population count, and tiles whose counts differ by more than the radius are skipped.
 
 A group above the tile size is cut into tiles by population count and hash, and each
@@ -31,6 +29,7 @@ from pyspark.sql import types as T
 
 from sentrymill.llm.common import body
 from sentrymill.llm.components import components
+from sentrymill.llm.similar_sets import near_dedup  # noqa: F401  the pipeline's stage, by its former name
 from sentrymill.operators.spread import staged
 
 SEED = 42
@@ -41,22 +40,13 @@ _ROWS_AT_ONCE = 1 << 15
 
 @dataclass(frozen=True)
 class Kind:
-    """Words of a shingle, 64-bit words of a fingerprint, differing bits that still link.
-
-    `digits`: hexadecimal digits of a block when a wide radius is searched by many blocks; 0: radius + 1 blocks.
-    """
+    """Words of a shingle, 64-bit words of a fingerprint, differing bits that still link."""
     shingle: int = 3
     width: int = 1
     radius: int = 3
-    digits: int = 0
 
 
 EXACT_RADIUS = Kind()
-# Five-word shingles.  At a Jaccard similarity of 0.8 a bit differs with chance acos(8 / 9) / pi = 0.151, so 38.7
-# of 256 bits differ on average, with a deviation of 5.7; the radius lies 1.7 deviations above.  One of 21 separate blocks
-# of 12 bits is equal with a chance of 1 - (1 - 0.849 ** 12) ** 21 = 0.96 at a similarity of 0.8, and of 0.999 at 0.9; the
-# 31 overlapping blocks in use find more.
-SIMILAR = Kind(shingle=5, width=4, radius=48, digits=3)
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -172,9 +162,6 @@ def _tiles(bits: np.ndarray, ones: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 def _groups(kind: Kind) -> Column:
     """Groups that near fingerprints share at least one of."""
-    if kind.digits:
-        return F.array(*[F.xxhash64(F.lit(i), F.substring(F.hex("fingerprint"), i + 1, kind.digits))
-                         for i in range(0, 16 * kind.width - kind.digits + 1, 2)])
     blocks = kind.radius + 1
     size = 8 * kind.width // blocks
     return F.array(*[F.xxhash64(F.lit(i), F.substring("fingerprint", i * size + 1, size if i + 1 < blocks else 8 * kind.width))
@@ -244,13 +231,3 @@ def near_groups(docs: DataFrame, kind: Kind = EXACT_RADIUS, id_col: str = "doc_i
     least = staged(classed.groupBy("_label").agg(F.min("_least").alias("component_id")), "simhash_components")
     by_print = staged(classed.join(least, "_label").select("fingerprint", "component_id"), "simhash_classes")
     return known.join(by_print, "fingerprint").select(id_col, "fingerprint", "component_id")
-
-
-def near_dedup(docs: DataFrame, kind: Kind = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their component, with all their columns.
-
-    Texts without words stay, and so does a row without an id.
-    """
-    gone = near_groups(docs.filter(F.col(id_col).isNotNull()), kind, id_col, text_col).filter(
-        (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
