@@ -2,14 +2,16 @@
 
 Only what decides the visible text is kept of a page: element names, a few
 attributes, text in order.  Built in one pass over the source, in linear time, and
-never deeper than MAX_DEPTH: elements nested deeper become siblings there, as
-browsers do it, so no text is lost.
+never deeper than MAX_DEPTH: elements nested deeper become siblings there, so no text
+is lost.  They stay open as on the page and know what they stood in, so each text is
+as visible as it was.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 MAX_DEPTH = 128
@@ -58,6 +60,8 @@ class Node:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)  # nodes and strings
+    outer: Node | None = None  # what it stands in on the page, if it became a sibling at MAX_DEPTH
+    gone: bool | None = None  # whether it is hidden, once worked out
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -79,6 +83,21 @@ def hiding_selectors(sheet: str) -> set[str]:
 
 
 def is_hidden(node: Node, selectors: set[str]) -> bool:
+    if node.outer is None:
+        return _hides(node, selectors)
+    chain = []
+    while node.gone is None:
+        chain.append(node)
+        if node.outer is None:
+            break
+        node = node.outer
+    gone = bool(node.gone)
+    for own in reversed(chain):
+        gone = own.gone = gone or _hides(own, selectors)
+    return gone
+
+
+def _hides(node: Node, selectors: set[str]) -> bool:
     if node.tag in HIDDEN:
         return True
     own = node.attributes
@@ -93,39 +112,59 @@ def is_hidden(node: Node, selectors: set[str]) -> bool:
 
 
 class Builder:
-    """Open elements in `stack`; the last one takes what comes."""
+    """Open elements in `stack`, of any depth; the last one takes what comes."""
 
     def __init__(self) -> None:
         self.root = Node("html")
         self.stack = [self.root]
         self.selectors: set[str] = set()
-        self.spare: list[str] = []  # elements beyond MAX_DEPTH that are open
+        self.places: dict[str, list[int]] = {}  # where open elements of a tag stand in the stack
+        self.barriers: list[int] = []
+        self.blocks: list[int] = []
+
+    def _take(self, child: Node | str) -> None:
+        """Adds to the last open element; beyond MAX_DEPTH to what goes on with it after its last sibling."""
+        top = self.stack[-1]
+        if len(self.stack) >= MAX_DEPTH:
+            siblings = self.stack[MAX_DEPTH - 2].children
+            if siblings[-1] is not top:
+                top = Node("span", outer=top)
+                siblings.append(top)
+        top.children.append(child)
 
     def text(self, data: str) -> None:
         top = self.stack[-1]
         if top.tag in IN_TABLE and not data.isspace():
             # Text straight in a table stands before the table.
-            at = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == "table" or i == 0)
-            if at:
-                self.stack[at - 1].children.insert(-1, data)
+            at = self._last("table")
+            if at > 0:
+                if at < MAX_DEPTH:
+                    self.stack[at - 1].children.insert(-1, data)
+                else:
+                    self.stack[MAX_DEPTH - 2].children.insert(-1, Node("span", children=[data], outer=self.stack[at - 1]))
                 return
-        top.children.append(data)
+        self._take(data)
+
+    def _last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
 
     def _close(self, count: int) -> None:
-        del self.stack[count:]
-        self.spare.clear()
+        while len(self.stack) > count:
+            at = len(self.stack) - 1
+            self.places[self.stack.pop().tag].pop()
+            for held in (self.barriers, self.blocks):
+                if held and held[-1] == at:
+                    held.pop()
 
     def _end(self, tags: frozenset[str], barriers: frozenset[str]) -> None:
         """Ends the outermost open element among `tags` above a barrier."""
-        cut = None
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in barriers:
-                break
-            if tag in tags:
-                cut = i
-        if cut is not None:
-            self._close(cut)
+        if not any(self.places.get(t) for t in tags):
+            return
+        least = max((self._last(b) for b in barriers), default=-1)
+        cuts = [found[i] for t in tags if (found := self.places.get(t)) and (i := bisect_right(found, least)) < len(found)]
+        if cuts:
+            self._close(min(cuts))
 
     def start(self, tag: str, source: str) -> None:
         if tag == "html":
@@ -137,46 +176,45 @@ class Builder:
         if tag in ENDS_P:
             self._end(frozenset(["p"]), BARRIERS | {"button"})
             if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
-                self.stack.pop()
+                self._close(len(self.stack) - 1)
         if tag in IMPLIED_END:
             self._end(*IMPLIED_END[tag])
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._open(Node("tr"))
         node = Node(tag, attributes(source))
         if tag in VOID:
-            self.stack[-1].children.append(node)
+            self._take(node)
         else:
             self._open(node)
 
     def _open(self, node: Node) -> None:
-        if len(self.stack) < MAX_DEPTH:
+        at = len(self.stack)
+        if at < MAX_DEPTH:
             self.stack[-1].children.append(node)
-            self.stack.append(node)
         else:
-            self.stack[-2].children.append(node)  # a sibling instead of a child
-            self.stack[-1] = node
-            self.spare.append(node.tag)
+            node.outer = self.stack[-1]
+            self.stack[MAX_DEPTH - 2].children.append(node)  # a sibling instead of a child
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in BARRIERS:
+            self.barriers.append(at)
+        if node.tag in ENDS_P:
+            self.blocks.append(at)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
             return
-        if self.spare and tag in self.spare:
-            self.spare.pop()
-            return
         if tag in ("html", "body") or tag in VOID:
             return
-        for i in range(len(self.stack) - 1, 0, -1):
-            own = self.stack[i].tag
-            if own == tag or (tag in HEADINGS and own in HEADINGS):
-                self._close(i)
-                return
-            if own in BARRIERS and tag not in IN_TABLE and own != tag:
-                return
-            if tag in INLINE and own in ENDS_P:
-                return  # an inline end tag does not end the block it stands in
-        if tag == "p":
-            self.stack[-1].children.append(Node("p"))
+        found = max(map(self._last, HEADINGS)) if tag in HEADINGS else self._last(tag)
+        stops = [] if tag in IN_TABLE else self.barriers[-1:]
+        if tag in INLINE:
+            stops = stops + self.blocks[-1:]  # an inline end tag does not end the block it stands in
+        if found > 0 and all(found >= at for at in stops):
+            self._close(found)
+        elif tag == "p" and not stops:
+            self._take(Node("p"))
 
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong "

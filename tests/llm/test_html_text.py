@@ -82,3 +82,12 @@ def test_awkward_rows(spark):
     got = sorted((tuple(r) for r in html_text.html_text(pages).collect()), key=repr)
     assert [g for g in got if g[0] != 5] == sorted([(1, "", 0), (2, "", 0), (None, "x", 1), (3, "x", 1), (3, "x", 1), (4, "", 0)], key=repr)
     assert html_text.html_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [100, 126, 127, 128, 200, 5000])
+@pytest.mark.parametrize("source, words", [
+    ("a <script>x</script>b <span hidden>no</span>c <i>d</i> e", "a b c d e"), ("<p hidden>no<b>no</b>no</p>f", "f"),
+    ("<span hidden>no<table>no<td>no</table></span>z<ul><li hidden>no<li>y</ul>q", "z y q")])
+def test_text_beyond_the_greatest_depth_is_as_visible_as_above_it(depth, source, words):
+    for tag in ("div", "b", "font"):
+        assert [w for w in html_text.render(f"<{tag}>" * depth + source).split() if w != "-"] == words.split()
