@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 MAX_DEPTH = 128
@@ -48,10 +49,14 @@ IN_TABLE = frozenset("table tbody thead tfoot tr".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 
 _TAG = re.compile(
-    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"?|'[^']*+'?)*+)>?""", re.S)
+    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"?|'[^']*+'?|[^\s>"'][^\s>]*+)?)?)*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SHOWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)[^;]*?(!\s*important)?\s*(?=;|$)")
+_BRACE = re.compile(r"[{}]")
+_STRING = re.compile(r""""[^"\n]*"|'[^'\n]*'""")
+# Media of a page on a screen; blocks with other conditions are taken as not valid.
+_SCREEN = re.compile(r"(?:only\s+)?(?:screen|all)|not\s+(?:print|speech)")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 
@@ -72,14 +77,48 @@ def attributes(source: str) -> dict[str, str]:
     return found
 
 
-def hiding_selectors(sheet: str) -> set[str]:
-    """Simple selectors (`tag`, `.class`, `#id`) that a style sheet hides."""
-    found: set[str] = set()
-    if "none" in sheet or "hidden" in sheet:
-        for selectors, rule in _RULE.findall(_COMMENT.sub("", sheet)):
-            if _GONE.search(rule.lower()):
-                found.update(s.strip() for s in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s))
-    return found
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds for any screen."""
+    return not media.strip() or any(_SCREEN.fullmatch(m.strip().lower()) for m in media.split(","))
+
+
+def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the rules that hold on any screen."""
+    sheet = _STRING.sub("", _COMMENT.sub("", sheet))
+    blocks: list[tuple[str | None, bool]] = []  # selectors, or None for an at-block; whether it holds
+    start = 0
+    for found in _BRACE.finditer(sheet):
+        before, start = sheet[start:found.start()], found.end()
+        if found.group() == "{":
+            opening, holds = before.rsplit(";", 1)[-1].strip(), not blocks or blocks[-1][1]
+            if opening.startswith("@"):
+                name, _, rest = opening[1:].partition(" ")
+                blocks.append((None, holds and (name.lower() == "layer" or (name.lower() == "media" and on_screen(rest)))))
+            else:
+                blocks.append((opening, holds and all(s is None for s, _ in blocks)))
+        elif blocks:
+            selectors, holds = blocks.pop()
+            if holds and selectors is not None:
+                yield selectors, before
+
+
+def read_sheet(sheet: str, rules: dict[str, dict[str, tuple[bool, bool]]]) -> None:
+    """Adds what a sheet says of simple selectors: property, whether it hides, whether it is important; the last rule counts."""
+    lower = sheet.lower()
+    if "display" not in lower and "visibility" not in lower:
+        return
+    for selectors, rule in style_rules(sheet):
+        for name, value, important in _SHOWN.findall(rule.lower()):
+            for selector in selectors.split(","):
+                if re.fullmatch(r"[.#]?[\w-]+", selector := selector.strip()):
+                    held = rules.setdefault(selector, {})
+                    if important or not held.get(name, (False, False))[1]:
+                        held[name] = value in ("none", "hidden", "collapse"), bool(important)
+
+
+def hiding_selectors(rules: dict[str, dict[str, tuple[bool, bool]]]) -> set[str]:
+    """Simple selectors (`tag`, `.class`, `#id`) that style sheets hide and no later rule of theirs shows."""
+    return {s for s, held in rules.items() if any(hides for hides, _ in held.values())}
 
 
 def is_hidden(node: Node, selectors: set[str]) -> bool:
@@ -117,7 +156,7 @@ class Builder:
     def __init__(self) -> None:
         self.root = Node("html")
         self.stack = [self.root]
-        self.selectors: set[str] = set()
+        self.rules: dict[str, dict[str, tuple[bool, bool]]] = {}
         self.places: dict[str, list[int]] = {}  # where open elements of a tag stand in the stack
         self.barriers: list[int] = []
         self.blocks: list[int] = []
@@ -133,6 +172,8 @@ class Builder:
         top.children.append(child)
 
     def text(self, data: str) -> None:
+        if self.stack[-1].tag == "head" and data.strip():
+            self._close(len(self.stack) - 1)  # text implies the body
         top = self.stack[-1]
         if top.tag in IN_TABLE and not data.isspace():
             # Text straight in a table stands before the table.
@@ -249,11 +290,12 @@ def build(source: str) -> tuple[Node, set[str]]:
             stop = size if stop < 0 else stop
             data = source[at:stop]
             if tag == "style":
-                builder.selectors |= hiding_selectors(data)
+                if on_screen(attributes(found.group(3)).get("media", "")):
+                    read_sheet(data, builder.rules)
             elif tag == "xmp" or tag == "textarea":
                 builder.text(data if tag == "xmp" else html.unescape(data))
             at = stop
-    return builder.root, builder.selectors
+    return builder.root, hiding_selectors(builder.rules)
 
 
 def _find_end(source: str, tag: str, at: int) -> int:

@@ -91,3 +91,16 @@ def test_awkward_rows(spark):
 def test_text_beyond_the_greatest_depth_is_as_visible_as_above_it(depth, source, words):
     for tag in ("div", "b", "font"):
         assert [w for w in html_text.render(f"<{tag}>" * depth + source).split() if w != "-"] == words.split()
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<style>@media print { nav, .s { display: none } } .h { display: none }</style><nav>n</nav><p class=s>s<p class=h>no", "n\n\ns"),
+    ("<style>@media screen { .h { display: none } } @media print { .s { display: none } .t { color: red } }</style><p class=h>no<p class=s>s", "s"),
+    ("<style media=print>p { display: none }</style><p>p", "p"),
+    ("<style>.m { display: none } .v { visibility: hidden } .m { display: block }</style><p class=m>m<p class=v>no", "m"),
+    ("<style>.m { display: none; display: flex } .i { display: none !important } .i { display: block }</style><p class=m>m<p class=i>no", "m"),
+    ("<style>.m { display: none }</style><style>.m { display: block }</style><p class=m>m", "m"),
+    ('<a href="x"">q</a> r <b title="s">t</b>', "q r t"), ("<p don't>u</p><p>v's</p>", "u\n\nv's"), ("<a href=x'y>q</a> it's", "q it's"),
+    ("<a title = \"x>y\" b='>'>q</a>", "q"), ("<head><title>t</title>text<p>more", "text\n\nmore"), ("<head> <title>t</title> </head>x", "x")])
+def test_visible_text_is_not_lost(source, text):
+    assert html_text.render(source) == text
