@@ -17,10 +17,12 @@ COLUMNS = {
     "op8_": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
     "op9_": {"doc_id", "first_word", "n_words", "source_doc_id"},
     "op10_": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    "op11_": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
     "pipeline": {"doc_id", "piece", "length", "sequence_id", "offset"},
 }
 LONG = {"n_words", "n_base", "first_word", "last_word", "size", "text_crc32", "slot", "n_turns", "loss_chars", "formatted_chars", "n_tokens",
-        "group_size", "start", "length", "ids_crc32", "sequence_id", "offset", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
+        "group_size", "start", "length", "ids_crc32", "sequence_id", "offset", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "n_runs", "period", "exponent_milli"}
 
 
 @pytest.mark.parametrize("prefix", COLUMNS)
