@@ -230,7 +230,8 @@ def find_runs(texts: list[list[bytes]], min_length: int = MIN_LENGTH, min_powers
         order = np.lexsort((q, size, begin))
         begin, size, q = begin[order], size[order], q[order]
         # Multiples of the smallest period give the same stretch again.
-        fresh = np.concatenate([[True], (begin[1:] != begin[:-1]) | (size[1:] != size[:-1])])
+        fresh = np.ones(len(begin), bool)
+        fresh[1:] = (begin[1:] != begin[:-1]) | (size[1:] != size[:-1])
         begin, size, q = begin[fresh], size[fresh], q[fresh]
         owner = both.text_of[begin]
         order = np.lexsort((q, begin))

@@ -91,6 +91,10 @@ def test_one_word_many_times():
     assert runs.find_runs([[b"a"] * 30_000]) == [[(0, 30_000, 1)]]
 
 
+def test_too_short():
+    assert runs.find_runs([[b"a"] * 5, [], [b"b"]]) == [[], [], []]
+
+
 def test_collapse():
     text = b"x a b a b a b a b y".split()
     (found,) = runs.find_runs([text])
