@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrymill.llm import (byte_bpe, chat, exact_dedup, html_text, licenses, packing, quality, runs, sharding, simhash,
-                            spelling, substring_dedup)
+from sentrymill.llm import (byte_bpe, chat, exact_dedup, html_text, licenses, lm_scoring, packing, quality, runs, sharding,
+                            simhash, spelling, substring_dedup)
 from sentrymill.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents"), plant=True))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_license_scan": op2_license_scan,
@@ -80,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_lm_scores": op13_lm_scores,
 }

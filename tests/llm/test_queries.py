@@ -19,11 +19,13 @@ COLUMNS = {
     "op10_": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op11_": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
     "op12_": {"word", "form", "root", "n", "n_near", "form_n"},
+    "op13_": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "pipeline": {"doc_id", "piece", "length", "sequence_id", "offset"},
 }
 LONG = {"n_words", "n_base", "first_word", "last_word", "size", "text_crc32", "slot", "n_turns", "loss_chars", "formatted_chars", "n_tokens",
         "group_size", "start", "length", "ids_crc32", "sequence_id", "offset", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "n_runs", "period", "exponent_milli", "n", "n_near", "form_n"}
+        "n_runs", "period", "exponent_milli", "n", "n_near", "form_n",
+        "n_known", "train_tokens"}
 
 
 @pytest.mark.parametrize("prefix", COLUMNS)
