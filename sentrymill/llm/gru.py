@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 
 END, UNKNOWN = 0, 1
-CLASS_SIZE, CLASSES = 48, 48
+CLASS_SIZE, CLASSES = 40, 40
 VOCABULARY = CLASS_SIZE * CLASSES
 STATE = 16
 WINDOW = 16
@@ -103,67 +103,80 @@ class Model:
             out.update[t], out.reset[t], out.fresh[t], out.recurred[t] = z, r, n, g[:, 2 * STATE:]
         return state, out
 
-    def log_chances(self, states: np.ndarray, tokens: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log of the chance of each token after its state; with `grads`, gradients of the negative sum too."""
+    def log_chances(self, states: np.ndarray, tokens: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """Natural log of the chance of each token after its state.
+
+        With `grads` the gradients of the negative sum are added there, and those of the states are returned instead.
+        """
         p = self.own
         order = np.argsort(tokens, kind="stable")
         tokens, states = tokens[order], states[order]
         classes, words, rows = tokens // CLASS_SIZE, tokens % CLASS_SIZE, np.arange(len(tokens))
         e, total = _softmax(states @ p["to_class"] + p["class_bias"])
-        chances = e[rows, classes] / total
-        back = None
-        if grads is not None:
-            e /= total[:, None]
-            e[rows, classes] -= 1
-            grads["to_class"] += states.T @ e
-            grads["class_bias"] += e.sum(axis=0)
-            back = e @ p["to_class"].T
         edges = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
-        for c, (low, high) in enumerate(zip(edges, edges[1:])):
-            if low == high:
-                continue
-            s, w, at = states[low:high], words[low:high], rows[:high - low]
-            e, total = _softmax(s @ p["to_word"][c] + p["word_bias"][c])
-            chances[low:high] *= e[at, w] / total
-            if grads is not None:
-                e /= total[:, None]
-                e[at, w] -= 1
-                np.matmul(s.T, e, out=grads["to_word"][c])
-                np.sum(e, axis=0, out=grads["word_bias"][c])
-                back[low:high] += e @ p["to_word"][c].T
-        found = np.empty(len(tokens), np.float32)
-        found[order] = np.log(chances)
-        if back is not None:
-            unsorted = np.empty_like(back)
-            unsorted[order] = back
-            back = unsorted
-        return found, back
+        blocks = [(c, low, high) for c, (low, high) in enumerate(zip(edges, edges[1:])) if low < high]
+        out = np.empty(len(tokens), np.float32) if grads is None else np.empty_like(states)
+        if grads is None:
+            chances = e[rows, classes] / total
+            for c, low, high in blocks:
+                e, total = _softmax(states[low:high] @ p["to_word"][c] + p["word_bias"][c])
+                chances[low:high] *= e[rows[:high - low], words[low:high]] / total
+            out[order] = np.log(chances)
+            return out
+        # The gradient of a softmax is its chances less the token itself; the chances are divided by their sums on the
+        # narrow side of each product, and the tokens themselves, which are sorted, are taken off all at once.
+        back = np.empty_like(states)
+        scale = 1 / total
+        grads["to_class"] += (states * scale[:, None]).T @ e
+        grads["class_bias"] += scale @ e
+        np.multiply(e @ p["to_class"].T, scale[:, None], out=back)
+        for c, low, high in blocks:
+            e, total = _softmax(states[low:high] @ p["to_word"][c] + p["word_bias"][c])
+            scale = 1 / total
+            grads["to_word"][c] += (states[low:high] * scale[:, None]).T @ e
+            grads["word_bias"][c] += scale @ e
+            back[low:high] += (e @ p["to_word"][c].T) * scale[:, None]
+        back -= p["to_class"].T[classes]
+        back -= p["to_word"].transpose(0, 2, 1)[classes, words]
+        for found, weights, bias in ((classes, "to_class", "class_bias"), (tokens, "to_word", "word_bias")):
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            sums, number = np.add.reduceat(states, first, axis=0), np.diff(np.append(first, len(found)))
+            if weights == "to_class":
+                grads[weights][:, found[first]] -= sums.T
+                grads[bias][found[first]] -= number
+            else:
+                grads[weights][classes[first], :, words[first]] -= sums
+                grads[bias][classes[first], words[first]] -= number
+        out[order] = back
+        return out
 
     def backward(self, previous: np.ndarray, seen: Window, d_states: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         """Gradients through the gates, back to the start of the window."""
         p, (steps, lanes) = self.own, previous.shape
         keep = (previous != END).astype(np.float32)[:, :, None]
-        d_gates = np.empty((steps, lanes, 3 * STATE), np.float32)
-        d_recur = np.empty((steps, lanes, 3 * STATE), np.float32)
+        z, r, n = seen.update, seen.reset, seen.fresh
+        to_fresh, to_update, to_reset, stay = z * (1 - n * n), (n - seen.before) * z * (1 - z), seen.recurred * r * (1 - r), (1 - z) * keep
+        d_gates = np.empty((steps, lanes, 3 * STATE), np.float32)  # of what comes back from the state; the last third times r
+        d_fresh = np.empty((steps, lanes, STATE), np.float32)
         d = np.zeros((lanes, STATE), np.float32)
         recur_t = np.ascontiguousarray(p["recur"].T)
         for t in range(steps - 1, -1, -1):
             d += d_states[t]
-            z, r, n, h = seen.update[t], seen.reset[t], seen.fresh[t], seen.before[t]
-            dn = d * z * (1 - n * n)
-            d_gates[t, :, :STATE] = d * (n - h) * z * (1 - z)
-            d_gates[t, :, STATE:2 * STATE] = dn * seen.recurred[t] * r * (1 - r)
-            d_gates[t, :, 2 * STATE:] = dn
-            d_recur[t] = d_gates[t]
-            d_recur[t, :, 2 * STATE:] *= r
-            d = (d * (1 - z) + d_recur[t] @ recur_t) * keep[t]
-        flat_gates, flat_recur = d_gates.reshape(-1, 3 * STATE), d_recur.reshape(-1, 3 * STATE)
+            dn = np.multiply(d, to_fresh[t], out=d_fresh[t])
+            g = d_gates[t]
+            np.multiply(d, to_update[t], out=g[:, :STATE])
+            np.multiply(dn, to_reset[t], out=g[:, STATE:2 * STATE])
+            np.multiply(dn, r[t], out=g[:, 2 * STATE:])
+            d *= stay[t]
+            d += (g @ recur_t) * keep[t]
+        flat_recur = d_gates.reshape(-1, 3 * STATE)
         grads["recur"] += seen.before.reshape(-1, STATE).T @ flat_recur
-        grads["gate_bias"] += flat_gates.sum(axis=0)
+        d_gates[:, :, 2 * STATE:] = d_fresh
+        grads["gate_bias"] += np.ones(len(flat_recur), np.float32) @ flat_recur
         fed = p["embed"][previous.reshape(-1)]
-        grads["input"] += fed.T @ flat_gates
+        grads["input"] += fed.T @ flat_recur
+        d_fed = flat_recur @ p["input"].T
         # Rows of equal tokens are summed by sorting, which is faster than adding them one by one.
-        d_fed = flat_gates @ p["input"].T
         order = np.argsort(previous.reshape(-1), kind="stable")
         tokens = previous.reshape(-1)[order]
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -196,7 +209,7 @@ def train(flat: np.ndarray, tokens: np.ndarray, lanes: int = LANES, rate: float
         state, seen = model.read(previous, state)
         d_states = np.zeros((own.size, STATE), np.float32)
         at = np.flatnonzero(mask.reshape(-1))
-        d_states[at] = model.log_chances(seen.states.reshape(-1, STATE)[at], own.reshape(-1)[at], grads)[1]
+        d_states[at] = model.log_chances(seen.states.reshape(-1, STATE)[at], own.reshape(-1)[at], grads)
         model.backward(previous, seen, d_states.reshape(seen.states.shape), grads)
         gradient /= max(len(at), 1)
         size = float(np.sqrt(np.dot(gradient, gradient)))
@@ -239,12 +252,12 @@ def score(flat: np.ndarray, texts: list[np.ndarray], lanes: int = 2 * LANES) ->
     now, before, sizes = now.T[:, ordered].copy(), before[:, ordered], filled[ordered]
     logs = np.zeros((steps, lanes), np.float32)
     state = np.zeros((lanes, STATE), np.float32)
-    window = max(WINDOW, 4096 // lanes)
+    window = max(WINDOW, 16384 // lanes)
     for start in range(0, steps, window):
         busy = int(np.searchsorted(-sizes, -start, "left"))  # lanes that go on
         own, stop = now[start:start + window, :busy], min(start + window, steps)
         state, seen = model.read(before[start:stop, :busy], state[:busy])
-        found, _ = model.log_chances(seen.states.reshape(-1, STATE), own.reshape(-1))
+        found = model.log_chances(seen.states.reshape(-1, STATE), own.reshape(-1))
         logs[start:stop, :busy] = found.reshape(own.shape)
     position = np.empty(lanes, np.int64)
     position[ordered] = np.arange(lanes)

@@ -1,8 +1,8 @@
 """Log-likelihood of whole documents under a recurrent language model that the corpus itself trains.
 
-1. Words of all training documents are counted.  The most frequent HEAD words go to every
-   task (a fixed number); the first of them are the words of the model, all others are
-   UNKNOWN to it, followed by their own add-one chance among the unknown.
+1. Words of all training documents are counted.  Those that make more than one token in HEAD
+   (so fewer than HEAD words) go to every task; the most frequent are the words of the model,
+   all others are UNKNOWN to it, followed by their own add-one chance among the unknown.
 2. Documents become token numbers once.  Words outside the head stay words and meet their
    counts in a join, summed per document; no such word is frequent in the training documents.
 3. All training tokens are dealt by hash to shares of about SHARE tokens.  In each of ROUNDS
@@ -37,12 +37,12 @@ from sentrymill.llm import gru
 from sentrymill.llm.common import body
 from sentrymill.operators.spread import staged
 
-HEAD = 65_536
+HEAD = 500_000
 ROUNDS, SHARE, PIECE = 3, 1_000_000, 65_536
 RATE_DECAY = 0.6
 FAN = 64
 SLICE = 8192
-CHUNK = 2_000_000
+CHUNK = 3_000_000
 END_WORD = ""
 HELD_OUT = (7, 2)
 _FLUSH_WORDS = 300_000
@@ -107,13 +107,14 @@ class Lexicon:
 
 def lexicon(counted: DataFrame, head: int = HEAD) -> Lexicon:
     total = counted.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END_WORD, F.col("n")))).first()
-    # A fixed number of rows.
-    first = counted.filter(F.col("word") != END_WORD).orderBy(F.desc("n"), "word").limit(head).collect()
+    # Fewer than `head` rows: each is more than one in `head` of all tokens.
+    first = counted.filter((F.col("word") != END_WORD) & (F.col("n") * head > (total[0] or 0))).collect()
+    first.sort(key=lambda r: (-r["n"], r["word"]))
     return Lexicon([r["word"] for r in first], np.array([r["n"] for r in first], np.int64), total[2] or 0, total[0] or 0, total[1])
 
 
 def numbered(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document its token numbers, what the head words add to the scores, and its other words with their counts."""
+    """Per document its token numbers, what the head words add to the scores, and its other words, joined by blanks."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w.encode(): i for i, w in enumerate(lex.words)}
         logs = np.append(np.log10(lex.counts + 1.0), 0.0)
@@ -136,16 +137,16 @@ def numbered(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: st
                     missing = np.flatnonzero(ranks[low:high] < 0).tolist()
                     n_head.append(high - low - len(missing) + (lex.ends > 0))
                     n_unknown.append(int((own == gru.UNKNOWN).sum()))
-                    rare.append([{"word": w.decode(), "k": k} for w, k in Counter(text[i] for i in missing).items()])
+                    rare.append(b" ".join([text[i] for i in missing]).decode())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(lengths + 1), pa.array(ids, pa.binary()), pa.array(n_head, pa.int64()),
                      pa.array(n_unknown, pa.int64()), pa.array(sums, pa.float64()), pa.array(unknown_sums, pa.float64()),
-                     pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))], schema.names)
+                     pa.array(rare, pa.string())], schema.names)
 
     rows = docs.select(id_col, held_out(F.col(id_col)).alias("held_out"), body(text_col).alias("_text"))
     schema = T.StructType([rows.schema[id_col], T.StructField("held_out", T.BooleanType())]).add("n_tokens", "long").add("ids", "binary").add(
         "n_head", "long").add("n_unknown", "long").add("head_log", "double").add("unknown_log", "double").add(
-        "rare", T.ArrayType(T.StructType().add("word", "string").add("k", "long")))
+        "rare", "string")
     return rows.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -251,8 +252,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     rows = staged(numbered(docs, lex, id_col, text_col), "lm_tokens")
     dealt, workers = shares(rows, lex.tokens, id_col, share, rounds)
     flat = train(staged(dealt, "lm_shares"), workers, gru.initial(lex.model_counts()), rounds)
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k").join(counted, "word").groupBy("row").agg(
-        F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("k").alias("n_rare"))
+    seldom = rows.filter("rare <> ''").select("row", F.explode(F.split("rare", " ")).alias("word"))
+    rare = seldom.join(counted, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("rare_log"), F.count("*").alias("n_rare"))
     scored = score_rows(rows.select("row", id_col, "held_out", "n_tokens", "n_head", "n_unknown", "head_log", "unknown_log", "ids"), flat)
     both = scored.join(rare, "row", "left").withColumns({"rare_log": F.coalesce("rare_log", F.lit(0.0)), "n_rare": F.coalesce("n_rare", F.lit(0))})
     tokens_unknown, words_unknown = lex.unknown
