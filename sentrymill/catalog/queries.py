@@ -756,6 +756,20 @@ def a2_alias_occurrences(t):
     return _occurrences(t).groupBy("event_id", "canonical", "alias").agg(F.count("*").alias("n_occurrences"))
 
 
+@query
+def a2_large_dictionary(t):
+    """Names of every customer number, three for each; some of them are the organisations of the articles."""
+    number = F.col("c_custkey").cast("string")
+    names = t.table("customer").select(
+        F.col("c_custkey").cast("int").alias("position"), F.concat(F.lit("Crew "), number, F.lit(" of the North")).alias("canonical"),
+        F.lit("cybercriminal").alias("actor_type"),
+        F.array(F.concat(F.lit("acme"), number), F.concat(F.lit("ACME"), number, F.lit(" Bank"))).alias("aliases"))
+    docs = t.linked.select("article_id", AT.article_text(c("title"), c("summary"), c("content")).alias("doc_text"))
+    prepared = AT.prepare_names(names)
+    hits = docs.select("article_id", F.explode(AT.name_places(c("doc_text"), prepared)).alias("hit")).select("article_id", c("hit.at").alias("place"), "hit.name_key")
+    return hits.join(prepared.table, "name_key").select("article_id", "place", "canonical", "alias")
+
+
 @query
 def a3_a6_guards(t):
     return _occurrences(t).groupBy("event_id", "alias", "has_phrase", "has_class", "near_victim", "historical").agg(F.count("*").alias("n_occurrences"))

@@ -7,31 +7,32 @@ that the windows can reach, so a huge event stays a set of rows.
 
 from __future__ import annotations
 
+import math
+import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matching import any_substring, matches
+from ..functions.name_trie import NameTrie
 from ..rules import actors as A
 from ..sources.actors import actor_names
 from .merge import final_high_impact
 from .spread import BUCKET_WIDTH, HOT_ROWS, join_unique, neighbour_text
 
-TOKEN_BREAK = r"[^A-Za-z0-9_]+"
-# A dictionary is matched as a constant up to this many names and as a joined
-# table beyond.
-MAX_CONSTANT_NAMES = 20_000
+# Names in one trie.  A longer dictionary is walked in several parts, so what a task
+# holds does not grow with the dictionary.
+PART_NAMES = 50_000
+HELD_PARTS = 8
 
 
 def article_text(title: Column, summary: Column, content: Column) -> Column:
     return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, summary, content)])
 
 
-def tokens(text: Column) -> Column:
-    return F.split(F.lower(text), TOKEN_BREAK)
-
-
 def word_set(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
 
@@ -43,69 +44,103 @@ def alias_needs_context(alias: Column) -> Column:
 
 @dataclass
 class Names:
-    """Dictionary names with the figures the scan has to know in advance."""
+    """Dictionary names, numbered within parts of bounded size, and the figures the scan has to know in advance."""
     table: DataFrame
-    count: int
+    parts: list[tuple[str, list[str]]]
     longest: int
-    first_tokens: list[str] | None
 
 
-def prepare_names(dictionary: DataFrame, max_constant: int = MAX_CONSTANT_NAMES) -> Names:
-    """Names with their first token; the small list of tokens only below a checked size."""
-    table = actor_names(dictionary).withColumn(
-        "first_token", F.get(F.filter(tokens(F.col("alias")), lambda t: t != ""), F.lit(0)))
-    stats = table.agg(F.count("*").alias("n"), F.max("alias_chars").alias("longest")).first()
-    first_tokens = None
-    if stats["n"] <= max_constant:
-        first_tokens = sorted(r[0] for r in table.select("first_token").distinct().collect() if r[0])
-    return Names(table, stats["n"], stats["longest"] or 0, first_tokens)
+def prepare_names(dictionary: DataFrame, part_names: int = PART_NAMES) -> Names:
+    """Names dealt by hash to parts of about `part_names`; a part is a list that goes to every task."""
+    names = actor_names(dictionary)
+    stats = names.agg(F.count("*").alias("n"), F.max("alias_chars").alias("longest")).first()
+    n_parts = max(1, math.ceil(stats["n"] / part_names))
+    table = names.withColumn("part", F.pmod(F.xxhash64(F.lower("alias")), F.lit(n_parts)).cast("int"))
+    parts = []
+    for part in range(n_parts):
+        own = table.filter(F.col("part") == part).select(F.lower("alias").alias("name_key")).distinct()
+        parts.append((uuid.uuid4().hex, sorted(r[0] for r in own.collect() if r[0])))
+    return Names(table.withColumn("name_key", F.lower("alias")), parts, stats["longest"] or 0)
+
+
+_LISTS: dict[str, list[str]] = {}
+
+
+@lru_cache(maxsize=HELD_PARTS)
+def _trie(key: str) -> NameTrie:
+    """One per worker and part; with more than HELD_PARTS parts they are built again, not held."""
+    return NameTrie(_LISTS[key])
+
+
+def _part_trie(part: tuple[str, list[str]]) -> NameTrie:
+    key, names = part
+    _LISTS[key] = names
+    try:
+        return _trie(key)
+    finally:
+        del _LISTS[key]
+
+
+def mentions(text: Column, names: Names) -> Column:
+    """Whether a name occurs in the text or begins at its end and may go on in the next one."""
+    def one(part: tuple[str, list[str]]) -> Column:
+        @F.pandas_udf("boolean")
+        def test(texts: pd.Series) -> pd.Series:
+            found, _, _, unfinished = _part_trie(part).walk(texts.tolist())
+            unfinished[found] = True
+            return pd.Series(unfinished)
+        return test(text)
+
+    some = one(names.parts[0])
+    for part in names.parts[1:]:
+        some = some | one(part)
+    return some
+
 
+def name_places(text: Column, names: Names) -> Column:
+    """Array of (at, name_key): where names begin, counted from 0."""
+    def one(part: tuple[str, list[str]]) -> Column:
+        @F.pandas_udf("array<struct<at:int,name_key:string>>")
+        def find(texts: pd.Series) -> pd.Series:
+            hits: list[list[dict]] = [[] for _ in range(len(texts))]
+            trie = _part_trie(part)
+            text_of, at, name, _ = trie.walk(texts.tolist())
+            for t, a, n in zip(text_of.tolist(), at.tolist(), name.tolist()):
+                hits[t].append({"at": a, "name_key": part[1][n]})
+            return pd.Series(hits)
+        return find(text)
 
-def docs_with_names(docs: DataFrame, names: Names) -> DataFrame:
-    """Adds name_tokens: first tokens of dictionary names found in the text."""
-    if names.first_tokens is not None:
-        listed = F.array(*[F.lit(t) for t in names.first_tokens]) if names.first_tokens else F.array().cast("array<string>")
-        return docs.withColumn("name_tokens", F.array_intersect(tokens(F.col("doc_text")), listed))
-    hits = (docs.select("article_id", F.explode(F.array_distinct(tokens(F.col("doc_text")))).alias("first_token"))
-            .join(names.table.select("first_token").distinct(), "first_token", "left_semi")
-            .groupBy("article_id").agg(F.collect_set("first_token").alias("name_tokens")))
-    return docs.join(hits, "article_id", "left").withColumn(
-        "name_tokens", F.coalesce("name_tokens", F.array().cast("array<string>")))
+    return F.concat(*[one(p) for p in names.parts]) if len(names.parts) > 1 else one(names.parts[0])
 
 
 def occurrences(docs: DataFrame, names: Names) -> DataFrame:
     """Every occurrence of a name that starts inside an article.
 
-    `docs` has event_id, article_id, doc_text, before_text, after_text and
-    name_tokens.  at is the position in padded_text, counted from 0.
+    `docs` has event_id, article_id, doc_text, before_text and after_text.  A row keeps the
+    text that the widest window reaches (`around`), the place of the name in it and its
+    offset in the article.
     """
     c = F.col
+    reach = max(A.PHRASE_WINDOW, A.STATUS_WINDOW, A.SHORT_ALIAS_WINDOW, A.HISTORY_WINDOW)
     padded = docs.withColumns({
         "padded_text": F.concat_ws(" ", "before_text", "doc_text", "after_text"),
         "own_start": F.coalesce(F.length("before_text") + 1, F.lit(0)),
         "own_chars": F.length("doc_text"),
     }).drop("before_text", "after_text", "doc_text")
-    pairs = padded.withColumn("first_token", F.explode("name_tokens")).drop("name_tokens")
-    table = F.broadcast(names.table) if names.first_tokens is not None else names.table
-    pairs = pairs.join(table, "first_token").drop("first_token")
-    quoted = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])\Q"), "alias", F.lit(r"\E(?![A-Za-z0-9_])"))
-    pieces = pairs.withColumn("pieces", F.split("padded_text", quoted)).filter(F.size("pieces") > 1)
-    # One pass over the pieces: the place behind the last name, and where names start so far.
-    starts = F.aggregate(
-        F.slice("pieces", F.lit(1), F.size("pieces") - 1),
-        F.struct(F.lit(0).alias("behind"), F.array().cast("array<int>").alias("starts")),
-        lambda seen, p: F.struct(
-            (seen["behind"] + F.length(p) + c("alias_chars")).alias("behind"),
-            F.concat(seen["starts"], F.array(seen["behind"] + F.length(p))).alias("starts")),
-        lambda seen: seen["starts"])
-    found = pieces.withColumn("at", F.explode(starts)).drop("pieces")
-    return found.filter((c("at") >= c("own_start")) & (c("at") < c("own_start") + c("own_chars")))
+    hits = padded.withColumn("hit", F.explode(name_places(c("padded_text"), names)))
+    own = hits.filter((c("hit.at") >= c("own_start")) & (c("hit.at") < c("own_start") + c("own_chars")))
+    start = F.greatest(c("hit.at") - reach, F.lit(0))
+    cut = own.withColumns({
+        "around": F.substr(c("padded_text"), start + 1, c("hit.at") + reach - start), "place": c("hit.at") - start,
+        "offset": c("hit.at") - c("own_start"), "name_key": c("hit.name_key"),
+    }).drop("padded_text", "own_start", "own_chars", "hit")
+    return cut.join(names.table.drop("part"), "name_key").drop("name_key")
 
 
 def window_text(before: int, after: int) -> Column:
     """Text from `before` characters in front of an occurrence to `after` behind its start."""
-    start = F.greatest(F.col("at") - before, F.lit(0))
-    return F.substr(F.col("padded_text"), start + 1, F.col("at") + after - start)
+    start = F.greatest(F.col("place") - before, F.lit(0))
+    return F.substr(F.col("around"), start + 1, F.col("place") + after - start)
 
 
 def guards(found: DataFrame) -> DataFrame:
@@ -146,17 +181,18 @@ def eligible_events(events: DataFrame) -> DataFrame:
 def scanned_occurrences(events: DataFrame, linked: DataFrame, names: Names,
                         width: int = BUCKET_WIDTH, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Occurrences with guard verdicts, and the articles that were looked at."""
-    texts = docs_with_names(linked.select(
+    texts = linked.select(
         "event_id", "article_id",
-        article_text(F.col("title"), F.col("summary"), F.col("content")).alias("doc_text")), names)
+        article_text(F.col("title"), F.col("summary"), F.col("content")).alias("doc_text"))
+    texts = texts.withColumn("has_name", mentions(F.col("doc_text"), names))
     # Only eligible events that mention some name are looked at.
     mentioned = texts.groupBy("event_id").agg(
-        F.count("*").alias("n_docs"), F.bool_or(F.size("name_tokens") > 0).alias("mentioned")).filter("mentioned")
+        F.count("*").alias("n_docs"), F.bool_or("has_name").alias("mentioned")).filter("mentioned")
     targets = mentioned.join(eligible_events(events), "event_id").select("event_id", "n_docs", "victim_words", "mentioned")
     docs = join_unique(texts, targets, "event_id", "n_docs", "article_id", hot_rows).filter("mentioned").drop("mentioned", "n_docs")
     reach = A.PHRASE_WINDOW + names.longest + 1
     padded = neighbour_text(docs, "event_id", "article_id", "doc_text", reach, width)
-    found = occurrences(padded.filter(F.size("name_tokens") > 0), names)
+    found = occurrences(padded.filter("has_name").drop("has_name"), names)
     return guards(found), docs
 
 
@@ -167,7 +203,7 @@ def find_actors(events: DataFrame, linked: DataFrame, names: Names,
     found, docs = scanned_occurrences(events, linked, names, width, hot_rows)
     passing = found.filter("has_phrase and has_class and near_victim and not historical").withColumn(
         "status", attribution_status(F.lower(window_text(A.STATUS_WINDOW, A.STATUS_WINDOW))))
-    order = F.struct((-c("article_id")).alias("a"), (c("at") - c("own_start")).alias("o"),
+    order = F.struct((-c("article_id")).alias("a"), c("offset").alias("o"),
                      (-c("alias_chars")).alias("l"), c("ord"))
     best = passing.groupBy("event_id").agg(
         F.min_by(F.struct("canonical", "actor_type", "status", "victim_words"), order).alias("hit"))
@@ -217,7 +253,7 @@ def blocked_report(events: DataFrame, linked: DataFrame, dictionary: DataFrame,
     if limit is not None:
         open_events = open_events.orderBy(F.desc("confidence_score"), "event_id").limit(limit)
     found, _ = scanned_occurrences(open_events, linked, prepare_names(dictionary))
-    order = F.struct((-c("article_id")).alias("a"), (c("at") - c("own_start")).alias("o"))
+    order = F.struct((-c("article_id")).alias("a"), c("offset").alias("o"))
     first = found.withColumn("marked", matches(window_text(A.PHRASE_WINDOW, 0), A.HISTORICAL_MARKER)).groupBy(
         "event_id", "canonical", "alias").agg(F.min_by(F.struct("has_phrase", "marked"), order).alias("f"))
     reason = (F.when(~c("f.has_phrase"), F.lit("no attribution phrase"))

@@ -55,9 +55,9 @@ def test_attribution_equals_search_over_joined_text(spark, width, hot):
     linked = spark.createDataFrame(links, "event_id bigint, article_id bigint, title string, summary string, content string")
     frame = spark.createDataFrame(events, "event_id bigint, event_signal_type string, victim_org_name string, actor_name string")
     dictionary = spark.createDataFrame([(i, *n) for i, n in enumerate(NAMES)], "position int, canonical string, actor_type string, aliases array<string>")
-    for limit in (1000, 1):  # names as a constant, and as a joined table
+    for limit in (1000, 3):  # one trie, and several parts
         names = AT.prepare_names(dictionary, limit)
-        assert (names.first_tokens is None) == (limit == 1)
+        assert (len(names.parts) > 1) == (limit == 3)
         got = {r["event_id"]: tuple(r)[1:] for r in AT.find_actors(frame, linked, names, width, hot).collect()}
         want = {}
         for event, _, victim, _ in events:
