@@ -256,8 +256,8 @@ add("a2_large_dictionary", MERGED + [
     "cut AS (SELECT article_id, string_split(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(content, ''))), 'acme') AS pc FROM linked)",
     "spots AS (SELECT article_id, unnest(list_transform(range(1, len(pc)), lambda i: {'spot': CAST(list_sum(list_transform(pc[1:i], lambda p: length(p))) AS INT) + 4 * (i - 1), "
     "'before': right(pc[i], 1), 'rest': pc[i + 1]})) AS s FROM cut)",
-    "named AS (SELECT article_id, CAST(s.spot AS INT) AS place, s.rest AS rest, regexp_extract(s.rest, '^\\d+') AS num FROM spots WHERE NOT regexp_matches(s.before, '[a-z0-9_]')),"
-    "crews AS (SELECT n.*, 'Crew ' || c_custkey || ' of the North' AS canonical FROM named n JOIN customer ON CAST(c_custkey AS VARCHAR) = num)"],
+    "spotted AS (SELECT article_id, CAST(s.spot AS INT) AS place, s.rest AS rest, regexp_extract(s.rest, '^\\d+') AS num FROM spots WHERE NOT regexp_matches(s.before, '[a-z0-9_]')),"
+    "crews AS (SELECT n.*, 'Crew ' || c_custkey || ' of the North' AS canonical FROM spotted n JOIN customer ON CAST(c_custkey AS VARCHAR) = num)"],
     "SELECT article_id, place, canonical, 'acme' || num AS alias FROM crews WHERE NOT regexp_matches(substr(rest, length(num) + 1, 1), '[a-z0-9_]') "
     "UNION ALL SELECT article_id, place, canonical, 'ACME' || num || ' Bank' FROM crews WHERE regexp_matches(substr(rest, length(num) + 1), '^ bank([^a-z0-9_]|$)')")
 # The single-word victim test is a test of the event, not of an occurrence.

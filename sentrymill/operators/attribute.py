@@ -21,7 +21,7 @@ from ..functions.name_trie import NameTrie
 from ..rules import actors as A
 from ..sources.actors import actor_names
 from .merge import final_high_impact
-from .spread import BUCKET_WIDTH, HOT_ROWS, join_unique, neighbour_text
+from .spread import HOT_ROWS, join_unique, neighbour_text, staged
 
 # Names in one trie.  A longer dictionary is walked in several parts, so what a task
 # holds does not grow with the dictionary.
@@ -179,7 +179,7 @@ def eligible_events(events: DataFrame) -> DataFrame:
 
 
 def scanned_occurrences(events: DataFrame, linked: DataFrame, names: Names,
-                        width: int = BUCKET_WIDTH, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+                        parts: int | None = None, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Occurrences with guard verdicts, and the articles that were looked at."""
     texts = linked.select(
         "event_id", "article_id",
@@ -190,17 +190,19 @@ def scanned_occurrences(events: DataFrame, linked: DataFrame, names: Names,
         F.count("*").alias("n_docs"), F.bool_or("has_name").alias("mentioned")).filter("mentioned")
     targets = mentioned.join(eligible_events(events), "event_id").select("event_id", "n_docs", "victim_words", "mentioned")
     docs = join_unique(texts, targets, "event_id", "n_docs", "article_id", hot_rows).filter("mentioned").drop("mentioned", "n_docs")
+    # Written, because range partitioning looks at the rows twice and several steps read them.
+    docs = staged(docs, "mentioning")
     reach = A.PHRASE_WINDOW + names.longest + 1
-    padded = neighbour_text(docs, "event_id", "article_id", "doc_text", reach, width)
+    padded = neighbour_text(docs, "event_id", "article_id", "doc_text", reach, parts)
     found = occurrences(padded.filter("has_name").drop("has_name"), names)
     return guards(found), docs
 
 
 def find_actors(events: DataFrame, linked: DataFrame, names: Names,
-                width: int = BUCKET_WIDTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+                parts: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """event_id with the actor found in its text: first passing occurrence, longest name."""
     c = F.col
-    found, docs = scanned_occurrences(events, linked, names, width, hot_rows)
+    found, docs = scanned_occurrences(events, linked, names, parts, hot_rows)
     passing = found.filter("has_phrase and has_class and near_victim and not historical").withColumn(
         "status", attribution_status(F.lower(window_text(A.STATUS_WINDOW, A.STATUS_WINDOW))))
     order = F.struct((-c("article_id")).alias("a"), c("offset").alias("o"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import org_acronym
 from ..functions.text import combined_text, primary_evidence
-from .spread import BUCKET_WIDTH, HOT_ROWS, join_unique, run_starts
+from .spread import HOT_ROWS, join_unique, run_starts
 
 CVE_NAME = r"(?i)^CVE-\d{4}-\d+$"
 
@@ -34,7 +34,7 @@ def source_kind(signal_kind: Column) -> Column:
 
 
 def assign_clusters(keyed: DataFrame, open_events: DataFrame | None = None,
-                    width: int = BUCKET_WIDTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+                    parts: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """article_id, event_id for rows of (article_id, cluster_key, kind).
 
     `open_events` (cluster_key, event_id, kind) are events of earlier runs that
@@ -57,7 +57,7 @@ def assign_clusters(keyed: DataFrame, open_events: DataFrame | None = None,
 
     # Before the first incident article: runs of unregistered sources.
     early = known.filter(F.col("first_at").isNull() | (F.col("at") < F.col("first_at")))
-    early = run_starts(early, "cluster_key", "at", "kind", "seed", "activity", "event_id", width)
+    early = run_starts(early, "cluster_key", "at", "kind", "seed", "activity", "event_id", parts)
     still_open = (
         early.groupBy("cluster_key")
         .agg(F.max_by(F.struct("kind", "event_id"), "at").alias("tail"))

@@ -1,8 +1,13 @@
 """Joins and ordered windows that do not send a hot key to one task.
 
 A key may hold a large share of all rows.  `join_unique` keeps such keys out of
-one task of the big side's shuffle, and the ordered helpers cut every group into
-buckets of bounded size and stitch the buckets together afterwards.
+one task of the big side's shuffle.
+
+The ordered helpers are prefix scans over ranges.  Rows are range-partitioned by key and
+order, so a hot key is cut wherever a partition ends, whatever its order values look like.
+Each range of a key is worked on by itself and gives one summary; the summaries of a key,
+at most one per partition, are scanned in order, and what they carry is joined back to the
+rows of their range.
 """
 
 from __future__ import annotations
@@ -17,8 +22,6 @@ from pyspark.sql import functions as F
 # Rows of one key from which it is joined on the map side.  At most
 # rows / HOT_ROWS keys can be that large, which bounds the broadcast.
 HOT_ROWS = 2_000_000
-# Ids per bucket.  Ids are unique, so a bucket never holds more rows than this.
-BUCKET_WIDTH = 1_000_000
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, size_col: str, spread_col: str,
@@ -42,46 +45,68 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, size_col: str, spre
     return joined.select(*[F.col(c) for c in left.columns], *[found[v].alias(v) for v in values])
 
 
-def _bucket(order_col: str, width: int) -> Column:
-    return F.floor(F.col(order_col) / F.lit(width)).cast("bigint")
+def ranges(rows: DataFrame, key: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """rows with `_range`: the number of the partition that holds them when rows are range-partitioned by key and order.
+
+    Rows of one key with a lower order have a lower or the same number.  The number is written
+    with the rows, so it stays the same for all readers and after a loss.  `parts` is the number
+    of partitions; by default that of shuffles.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(rows.repartitionByRange(parts, *key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def numbered(rows: DataFrame, order: list[str], out: str, start: int = 0, parts: int | None = None) -> DataFrame:
+    """rows with a gapless number in the given order, from `start` + 1 on; ties in any order.
+
+    Each range counts its rows, and the running sum of these counts, one per partition, is
+    where the numbers of a range begin.
+    """
+    cut = ranges(rows, [], order, parts)
+    counts = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carry = counts.select("_range", (before + start).alias("_before"))  # one row per partition
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return cut.withColumn("_local", local).join(F.broadcast(carry), "_range").select(
+        *rows.columns, (F.col("_before") + F.col("_local")).alias(out))
 
 
 def run_starts(rows: DataFrame, key: str, order_col: str, kind_col: str, seed_col: str, closing_kind: str,
-               out: str, width: int = BUCKET_WIDTH) -> DataFrame:
+               out: str, parts: int | None = None) -> DataFrame:
     """Seed of the run each row belongs to.
 
     Within a key and in order, a run starts at the first row and after every row
     of `closing_kind`.
     """
     order = F.col(order_col)
-    cut = rows.withColumn("_bucket", _bucket(order_col, width))
-    w = Window.partitionBy(key, "_bucket").orderBy(order_col)
+    cut = ranges(rows, [key], [order_col], parts)
+    w = Window.partitionBy(key, "_range").orderBy(order_col)
     cut = cut.withColumn("_prev", F.lag(kind_col).over(w))
     cut = cut.withColumn("_opened", F.when(F.col("_prev") == closing_kind, F.col(seed_col)))
     cut = cut.withColumn("_local", F.last("_opened", ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    edges = cut.groupBy(key, "_bucket").agg(
+    edges = cut.groupBy(key, "_range").agg(
         F.max_by(kind_col, order).alias("_last_kind"), F.min_by(seed_col, order).alias("_first_seed"),
         F.max_by("_opened", F.when(F.col("_opened").isNotNull(), order)).alias("_last_opened"))
-    wk = Window.partitionBy(key).orderBy("_bucket")
+    wk = Window.partitionBy(key).orderBy("_range")
     edges = edges.withColumn("_before", F.lag("_last_kind").over(wk))
     opens = F.col("_before").isNull() | (F.col("_before") == closing_kind)
     edges = edges.withColumn("_first_run", F.when(opens, F.col("_first_seed")))
     carried = F.last(F.coalesce("_last_opened", "_first_run"), ignorenulls=True).over(
         wk.rowsBetween(Window.unboundedPreceding, -1))
-    edges = edges.select(key, "_bucket", F.coalesce("_first_run", carried).alias("_carry"))
-    joined = cut.join(edges, [key, "_bucket"], "left")
+    edges = edges.select(key, "_range", F.coalesce("_first_run", carried).alias("_carry"))
+    joined = cut.join(edges, [key, "_range"], "left")
     return joined.select(*rows.columns, F.coalesce("_local", "_carry").alias(out))
 
 
 def neighbour_text(rows: DataFrame, key: str, order_col: str, text_col: str, reach: int,
-                   width: int = BUCKET_WIDTH) -> DataFrame:
+                   parts: int | None = None) -> DataFrame:
     """Up to `reach` characters of the texts before and after each row of the key.
 
     Rows are taken in descending `order_col`, joined by one blank; texts are not
     empty.  Adds before_text and after_text, null where there is no neighbour.
 
-    Inside a bucket a row gets a position that counts at most `reach` characters
+    Inside a range a row gets a position that counts at most `reach` characters
     per text, so all neighbours that can matter lie within twice the reach: the
     range frame holds a row or two of normal texts and more only of short ones.
     """
@@ -96,11 +121,10 @@ def neighbour_text(rows: DataFrame, key: str, order_col: str, text_col: str, rea
     def glue(first: Column, second: Column) -> Column:
         return F.concat_ws(" ", first, second)
 
-    cut = rows.withColumns({
-        "_bucket": _bucket(order_col, width),
+    cut = ranges(rows, [key], [order_col], parts).withColumns({
         "_head": F.left(text_col, F.lit(reach)), "_tail": F.right(text_col, F.lit(reach)),
     })
-    group = Window.partitionBy(key, "_bucket")
+    group = Window.partitionBy(key, "_range")
     upto = group.orderBy(F.desc(order_col)).rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.withColumn("_place", F.coalesce(F.sum(F.length("_head") + 1).over(upto), F.lit(0)).cast("bigint"))
     by_place = group.orderBy("_place")
@@ -108,17 +132,17 @@ def neighbour_text(rows: DataFrame, key: str, order_col: str, text_col: str, rea
         "_before": joined_tail(F.collect_list("_tail").over(by_place.rangeBetween(-near, -1))),
         "_after": joined_head(F.collect_list("_head").over(by_place.rangeBetween(1, near))),
     }).drop("_place")
-    edges = local.groupBy(key, "_bucket").agg(
-        F.min_by(F.right(glue(F.col("_before"), F.col("_tail")), F.lit(reach)), order_col).alias("_bucket_tail"),
-        F.max_by(F.left(glue(F.col("_head"), F.col("_after")), F.lit(reach)), order_col).alias("_bucket_head"),
+    edges = local.groupBy(key, "_range").agg(
+        F.min_by(F.right(glue(F.col("_before"), F.col("_tail")), F.lit(reach)), order_col).alias("_range_tail"),
+        F.max_by(F.left(glue(F.col("_head"), F.col("_after")), F.lit(reach)), order_col).alias("_range_head"),
     )
-    wk = Window.partitionBy(key).orderBy(F.desc("_bucket"))
+    wk = Window.partitionBy(key).orderBy(F.desc("_range"))
     edges = edges.select(
-        key, "_bucket",
-        joined_tail(F.collect_list("_bucket_tail").over(wk.rowsBetween(-reach, -1))).alias("_far_before"),
-        joined_head(F.collect_list("_bucket_head").over(wk.rowsBetween(1, reach))).alias("_far_after"),
+        key, "_range",
+        joined_tail(F.collect_list("_range_tail").over(wk.rowsBetween(-reach, -1))).alias("_far_before"),
+        joined_head(F.collect_list("_range_head").over(wk.rowsBetween(1, reach))).alias("_far_after"),
     )
-    both = local.join(edges, [key, "_bucket"], "left")
+    both = local.join(edges, [key, "_range"], "left")
     before = F.nullif(F.right(glue(F.col("_far_before"), F.col("_before")), F.lit(reach)), F.lit(""))
     after = F.nullif(F.left(glue(F.col("_after"), F.col("_far_after")), F.lit(reach)), F.lit(""))
     return both.select(*rows.columns, before.alias("before_text"), after.alias("after_text"))

@@ -42,9 +42,9 @@ PHRASES = ["LockBit 3.0", "lockbit", "Play", "Play ransomware gang", "the Black"
            "previously,", "has claimed."]
 
 
-@pytest.mark.parametrize("width,hot", [(5, 3), (10**6, 10**6)])
-def test_attribution_equals_search_over_joined_text(spark, width, hot):
-    rng = random.Random(width)
+@pytest.mark.parametrize("n_ranges,hot", [(40, 3), (1, 10**6)])
+def test_attribution_equals_search_over_joined_text(spark, n_ranges, hot):
+    rng = random.Random(n_ranges)
     links, events = [], []
     for event in range(60):
         victim = rng.choice([None, "Acme Mills", "Acme"])
@@ -58,7 +58,7 @@ def test_attribution_equals_search_over_joined_text(spark, width, hot):
     for limit in (1000, 3):  # one trie, and several parts
         names = AT.prepare_names(dictionary, limit)
         assert (len(names.parts) > 1) == (limit == 3)
-        got = {r["event_id"]: tuple(r)[1:] for r in AT.find_actors(frame, linked, names, width, hot).collect()}
+        got = {r["event_id"]: tuple(r)[1:] for r in AT.find_actors(frame, linked, names, n_ranges, hot).collect()}
         want = {}
         for event, _, victim, _ in events:
             texts = [" ".join(p or "" for p in row[2:]) for row in sorted((r for r in links if r[0] == event), key=lambda r: -r[1])]

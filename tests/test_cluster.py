@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrymill.operators import cluster as CL
-from sentrymill.operators.spread import join_unique, neighbour_text
+from sentrymill.operators.spread import join_unique, neighbour_text, numbered, ranges, run_starts
 from sentrymill.streaming.incremental import open_events
 
 
@@ -34,8 +34,8 @@ def test_closed_form_equals_sequential_loop(spark, seed):
                  rng.choice(["incident", "activity", "activity", "none", "none"] if seed else ["activity", "none"]))
                 for i in rng.sample(range(1000), 250)]
     frame = spark.createDataFrame(articles, "article_id bigint, cluster_key string, kind string")
-    # Tiny buckets and hot limits send the rows through every branch.
-    got = {r[0]: r[1] for r in CL.assign_clusters(frame, width=40, hot_rows=20).collect()}
+    # Many ranges and low hot limits send the rows through every branch.
+    got = {r[0]: r[1] for r in CL.assign_clusters(frame, parts=40, hot_rows=20).collect()}
     assert got == sequential(articles)
 
 
@@ -78,13 +78,38 @@ def test_join_unique_spreads_hot_rows(spark, tmp_path):
         assert sum(r["count"] for r in rows) == 20_000 and max(r["count"] for r in rows) < 4000
 
 
-@pytest.mark.parametrize("width", [7, 1000])
-def test_neighbour_text_equals_joined_text(spark, width):
+def test_ranges_cut_a_hot_key(spark, tmp_path):
+    """One key has nearly all rows and ids of 62 bits: its rows lie in all ranges, in order, and no task gets them all."""
+    path = str(tmp_path / "hot")
+    spark.range(100_000).selectExpr("pmod(xxhash64(id), 1L << 62) as id", "if(id % 50 = 0, concat('k', id), 'hot') as k",
+                                    "if(id % 3 = 0, 'activity', 'none') as kind").write.parquet(path)
+    rows = spark.read.parquet(path)
+    cut = ranges(rows, ["k"], ["id"], 16).filter("k = 'hot'").groupBy("_range").agg(
+        F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("_range").collect()
+    assert len(cut) >= 15 and max(r["n"] for r in cut) < 15_000
+    assert all(a["high"] < b["low"] for a, b in zip(cut, cut[1:]))
+    want, seed, opens = {}, None, True
+    for r in rows.filter("k = 'hot'").orderBy("id").collect():
+        seed = r["id"] if opens else seed
+        want[r["id"]], opens = seed, r["kind"] == "activity"
+    got = run_starts(rows.withColumn("seed", F.col("id")), "k", "id", "kind", "seed", "activity", "run", 16).filter("k = 'hot'")
+    assert {r["id"]: r["run"] for r in got.collect()} == want
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, f"u{i}") for i in range(1000)], "at int, u string")
+    got = sorted((r["number"], r["at"]) for r in numbered(rows, ["at", "u"], "number", 5, parts=7).collect())
+    assert got == [(6 + i, i) for i in range(1000)]
+    assert numbered(rows.limit(0), ["at"], "number").count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 13, 60])
+def test_neighbour_text_equals_joined_text(spark, parts):
     rng = random.Random(3)
     texts = {i: "".join(rng.choice("abcdef") for _ in range(rng.choice([2, 3, 5, 40]))) for i in rng.sample(range(300), 60)}
     reach = 25
     frame = spark.createDataFrame([(i, "e", t) for i, t in texts.items()], "article_id bigint, e string, t string")
-    got = {r["article_id"]: (r["before_text"], r["after_text"]) for r in neighbour_text(frame, "e", "article_id", "t", reach, width).collect()}
+    got = {r["article_id"]: (r["before_text"], r["after_text"]) for r in neighbour_text(frame, "e", "article_id", "t", reach, parts).collect()}
     order = sorted(texts, reverse=True)
     for pos, i in enumerate(order):
         before = " ".join(texts[j] for j in order[:pos])[-reach:] or None
