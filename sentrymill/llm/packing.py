@@ -58,7 +58,8 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Strings that the tokenizer takes as one token wherever they stand, across the edges of words too.
+        self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
 
@@ -78,12 +79,14 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [lookups(t) for t in texts]
+        whole = {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                 for i, t in enumerate(texts) if self.special.search(t)}
+        split = [[] if i in whole else lookups(t) for i, t in enumerate(texts)]
         if len(self.cache) > CACHE_SIZE:
             self.cache.clear()
         self.learn(list(set().union(*split).difference(self.cache)))
         get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [whole[i] if i in whole else b"".join(map(get, words)) for i, words in enumerate(split)]
 
 
 @lru_cache(maxsize=2)

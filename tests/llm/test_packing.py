@@ -13,7 +13,6 @@ from tests.llm.conftest import DATA
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ORACLE = Tokenizer.from_file(PATH)
-ORACLE.encode_special_tokens = True  # their strings in a text are ordinary text
 
 
 def check(docs, size=2048):
@@ -38,6 +37,12 @@ def check(docs, size=2048):
     return len(inside), max(-(-total // size), sum(w[3] > size // 2 for w in want))
 
 
+def test_special_strings(spark):
+    texts = ["hello <|startoftext|> <|endoftext|> world", "x<|endoftext|>y", "<|endoftext|>", "<|ENDOFTEXT|> <|end", "plain words", "\x02 <|startoftext|>"]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert ORACLE.encode(texts[0], add_special_tokens=False).ids == [3306, 49406, 49407, 1002]
+
+
 def test_awkward_rows(documents, no_documents):
     check(documents)
     check(documents, 7)
