@@ -450,10 +450,30 @@ add("s4_catalogue", BASE,
     "SELECT (SELECT url FROM reg WHERE source_name = " + q(G.CATALOGUE_SOURCE) + ") || '#CVE-2024-' || article_id AS article_url, "
     "trim(org) || ' Mail Code Injection (CVE-2024-' || article_id || ')' AS title, CAST(published_at AS DATE)::TIMESTAMP AS published_at, "
     "CASE WHEN floor(date_diff('second', CAST(published_at AS DATE)::TIMESTAMP, TIMESTAMP '1998-08-02') / 86400) <= 90 THEN 'young' ELSE 'aged' END AS side FROM articles")
-add("s11_ingest_to_store", BASE,
-    f"SELECT {_FEED_URL} AS article_url, arg_min(source_name, (published_at, source_name, trim(title))) AS source_name, arg_min(trim(title), (published_at, source_name, trim(title))) AS title, "
-    "arg_min(trim(summary) || ' & more', (published_at, source_name, trim(title))) AS content, min(published_at) AS published_at, "
-    f"true AS has_id FROM articles WHERE source_name IN ('bleepingcomputer', 'krebsonsecurity') AND {_FEED_URL} IS NOT NULL GROUP BY 1")
+_ACCESSION = "lpad(article_id::VARCHAR, 10, '0') || '-24-000001'"
+_FILINGS = [
+    f"fil AS (SELECT *, {_ACCESSION} AS accession, strftime(published_at, '%Y-%m-%d') AS day, CASE WHEN article_id % 2 = 0 THEN {q(G.US_HINT)} END AS hint, "
+    "CASE WHEN article_id % 3 = 0 THEN 'On May 1 an unauthorized actor entered the systems of ' || org || ' and copied files of many customers. "
+    f"The company contained the incident and told the authorities.' END AS body FROM articles WHERE source_name = {q(G.FILING_SOURCE)} AND article_id % 11 > 0)",
+    "filings AS (SELECT 'https://www.sec.gov/Archives/edgar/data/' || article_id || '/' || replace(accession, '-', '') || '/' || accession || '-index.htm' AS article_url, "
+    "org || ' discloses breach in SEC 8-K filing' AS title, coalesce(body, concat_ws(' ', org || ' disclosed a data breach in a Form 8-K filing with the SEC on ' || day || '.', "
+    f"{q(G.FILING_TEMPLATE_MARK)}, hint, {q(G.FILING_CLOSING)})) AS opening, CASE WHEN body IS NULL THEN opening ELSE concat_ws(chr(10) || chr(10), "
+    f"org || ' — cybersecurity disclosure (8-K, filed ' || day || '):', body, hint, {q(G.FILING_CLOSING)}) END AS content, CAST(day AS TIMESTAMP) AS published_at, source_name FROM fil)"]
+add("s5_filings", BASE + _FILINGS, "SELECT article_url, title, opening AS summary, md5(content) AS content_md5, published_at, r.ingest_type AS source_type FROM filings JOIN reg r USING (source_name)")
+add("s6_valid_accessions", BASE + _FILINGS, "SELECT accession FROM fil")
+add("s11_ingest_to_store", BASE + _FILINGS + [
+    f"kev AS (SELECT (SELECT url FROM reg WHERE source_name = {q(G.CATALOGUE_SOURCE)}) || '#CVE-2024-' || article_id AS article_url, "
+    "org || ' Mail Code Injection (CVE-2024-' || article_id || ')' AS title, replace(trim(summary), '. ', '.  ') || ' CVE: CVE-2024-' || article_id || ' Vendor: ' || org || ' Product: Mail Catalog version: 7' AS content, CAST(CAST(published_at AS DATE) AS TIMESTAMP) AS published_at, source_name "
+    f"FROM articles WHERE source_name = {q(G.CATALOGUE_SOURCE)})",
+    f"feeds AS (SELECT {_FEED_URL} AS article_url, trim(title) AS title, CASE WHEN source_name <> {q(G.ADVISORY_SOURCE)} THEN trim(summary) || ' & more' "
+    "WHEN length(trim(regexp_extract(trim(summary) || ' & more', '(.+?[.!?])(?:\\s|$)', 1))) >= 40 "
+    "THEN trim(regexp_extract(trim(summary) || ' & more', '(.+?[.!?])(?:\\s|$)', 1)) ELSE trim(title) || ' vulnerability advisory from CISA.' END AS content, published_at, source_name "
+    f"FROM articles WHERE source_name IN (SELECT source_name FROM reg) AND source_name NOT IN ({q(G.CATALOGUE_SOURCE)}, {q(G.FILING_SOURCE)}) AND {_FEED_URL} IS NOT NULL)",
+    "landed AS (SELECT article_url, title, content, published_at, source_name FROM filings UNION ALL SELECT article_url, title, content, published_at, source_name FROM kev "
+    "UNION ALL SELECT * FROM feeds)",
+    "firsts AS (SELECT article_url, arg_min(source_name, (published_at, source_name, title)) AS source_name, arg_min(title, (published_at, source_name, title)) AS title, "
+    "arg_min(content, (published_at, source_name, title)) AS content, min(published_at) AS published_at FROM landed GROUP BY 1)"],
+    "SELECT row_number() OVER (ORDER BY published_at, article_url) AS article_id, article_url, source_name, title, md5(content) AS content_md5, published_at FROM firsts")
 add("s16_run_row", [], "SELECT true AS success, CAST(NULL AS VARCHAR) AS error, 'attribute,cluster,extract,merge,process' AS stages, true AS in_order")
 add("s15_missing_groups", [
     NAMES,

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import corpus
@@ -369,6 +369,20 @@ def _land(t, frame: DataFrame, name: str) -> str:
     return path
 
 
+def _land_pages(t, frame: DataFrame, name: str) -> str:
+    """One JSON document a file: a page of what a source lists, each of a bounded number of articles."""
+    path = _scratch(t, name)
+    frame.write.partitionBy("page").json(path)
+    return path
+
+
+PAGE_WIDTH = 2000
+
+
+def _page() -> Column:
+    return F.floor(c("article_id") / PAGE_WIDTH).alias("page")
+
+
 def _feed_lines(t, where=None) -> DataFrame:
     """Articles as feed entries: some without link, some with markup."""
     rows = t.articles if where is None else t.articles.filter(where)
@@ -400,13 +414,63 @@ def s4_catalogue(t):
         aged.select("article_url", "title", "published_at", F.lit("aged").alias("side")))
 
 
+def _catalogue_lines(t) -> DataFrame:
+    """Articles of the catalogue source, a catalogue per page."""
+    own = t.articles.filter(c("source_name") == G.CATALOGUE_SOURCE)
+    entry = F.struct(
+        F.concat(F.lit("CVE-2024-"), c("article_id").cast("string")).alias("cveID"), c("org").alias("vendorProject"), F.lit("Mail").alias("product"),
+        F.lit("Code Injection").alias("vulnerabilityName"), c("summary").alias("shortDescription"),
+        F.date_format("published_at", "yyyy-MM-dd").alias("dateAdded"))
+    return own.groupBy(_page()).agg(F.lit("7").alias("catalogVersion"), F.collect_list(entry).alias("vulnerabilities"))
+
+
+def _accession() -> Column:
+    return F.concat(F.lpad(c("article_id").cast("string"), 10, "0"), F.lit("-24-000001"))
+
+
+def _filing_lines(t) -> DataFrame:
+    """Articles of the filing source as search hits: some of another item, some found twice."""
+    own = t.articles.filter(c("source_name") == G.FILING_SOURCE)
+    source = F.struct(
+        F.array(F.concat("org", F.lit(" (CIK 0000000001)"))).alias("display_names"), F.date_format("published_at", "yyyy-MM-dd").alias("file_date"),
+        _accession().alias("adsh"), F.array(F.lpad(c("article_id").cast("string"), 10, "0")).alias("ciks"),
+        F.array(F.when(c("article_id") % 11 == 0, F.lit("9.01")).otherwise(F.lit(G.FILING_ITEM))).alias("items"),
+        F.array(F.lit("none")).alias("sics"), F.array(F.when(c("article_id") % 2 == 0, F.lit("CA")).otherwise(F.lit("X0"))).alias("biz_states"))
+    first = F.struct(F.concat(_accession(), F.lit(":main.htm")).alias("_id"), source.alias("_source"))
+    second = F.struct(F.concat(_accession(), F.lit(":exhibit.htm")).alias("_id"), source.alias("_source"))
+    return own.groupBy(_page()).agg(F.struct(F.flatten(F.collect_list(F.array(first, second))).alias("hits")).alias("hits"))
+
+
+def _filing_documents(t) -> DataFrame:
+    """The main document of every third filing, with the section that the excerpt is taken from."""
+    own = t.articles.filter((c("source_name") == G.FILING_SOURCE) & (c("article_id") % 3 == 0))
+    body = F.concat(F.lit("<h1>FORM 8-K</h1><p>Item 1.05 Material Cybersecurity Incidents</p><p>On May 1 an unauthorized actor entered the systems of "),
+                    "org", F.lit(" and copied files of many customers. The company contained the incident and told the authorities.</p><p>SIGNATURES</p>"))
+    return own.select(F.lpad(c("article_id").cast("string"), 10, "0").alias("cik"), _accession().alias("accession"),
+                      F.lit("main.htm").alias("filename"), body.alias("html"))
+
+
+@query
+def s5_filings(t):
+    hits = LD.read_filing_hits(t.spark, _land_pages(t, _filing_lines(t), "s5"))
+    return LD.filing_articles(hits, _filing_documents(t), F.lit(FETCHED_AT).cast("timestamp_ntz")).select(
+        "article_url", "title", "summary", F.md5("content").alias("content_md5"), "published_at", "source_type")
+
+
+@query
+def s6_valid_accessions(t):
+    return LD.valid_accessions(LD.read_filing_hits(t.spark, _land_pages(t, _filing_lines(t), "s6")))
+
+
 @query
 def s11_ingest_to_store(t):
-    """Two landed feeds through ingest, ids and store: what the pipeline starts from."""
-    names = ("bleepingcomputer", "krebsonsecurity")
-    paths = {n: _land(t, _feed_lines(t, c("source_name") == n).drop("source_name"), f"s11-{n}") for n in names}
-    articles, _ = pipeline.collect_articles(t.spark, paths, datetime(2002, 1, 1, 10, 20, 30))
-    return articles.select("article_url", "source_name", "title", "content", "published_at", (c("article_id") >= 0).alias("has_id"))
+    """Every registered source, by feed, catalogue and filing search, through ingest, ids and store: what the pipeline starts from."""
+    feeds = [s[0] for s in G.SOURCES if s[0] not in (G.CATALOGUE_SOURCE, G.FILING_SOURCE)]
+    paths = {n: _land(t, _feed_lines(t, c("source_name") == n).drop("source_name"), f"s11-{n}") for n in feeds}
+    paths[G.CATALOGUE_SOURCE] = _land_pages(t, _catalogue_lines(t), "s11-catalogue")
+    paths[G.FILING_SOURCE] = _land_pages(t, _filing_lines(t), "s11-filings")
+    articles, _ = pipeline.collect_articles(t.spark, paths, datetime(2002, 1, 1, 10, 20, 30), documents=_filing_documents(t))
+    return articles.select("article_id", "article_url", "source_name", "title", F.md5("content").alias("content_md5"), "published_at")
 
 
 @query

@@ -117,8 +117,8 @@ def collect_articles(spark: SparkSession, paths: dict[str, str], fetched_at: dat
     aged = fresh.limit(0)
     if max_age_days is not None:
         fresh, aged = landed.split_by_age(fresh, max_age_days)
-    batch = staged(store.with_article_ids(fresh).withColumn("content_enriched", F.lit(False)), "ingested")
-    articles = store.new_by_url(batch) if stored is None else store.insert_articles(batch, stored)
+    batch = store.with_article_ids(fresh, stored).withColumn("content_enriched", F.lit(False))
+    articles = batch if stored is None else stored.unionByName(batch, allowMissingColumns=True)
     if bodies is not None:
         articles = store.enrich(articles, bodies).drop("candidate", "enriched")
     return staged(articles, "stored"), aged

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.matching import strip
 from ..functions.text import submitted_domain
-from ..operators.spread import HOT_ROWS, join_unique
+from ..operators.spread import HOT_ROWS, join_unique, numbered, staged
 from ..rules import registry as G
 
 
@@ -28,14 +28,21 @@ def with_allowed_source(rows: DataFrame, url_col: str = "url", domains: DataFram
     return marked.withColumn("domain_status", F.when(F.col("source_name").isNull(), F.lit("domain_not_allowed")).otherwise(F.lit("ok")))
 
 
-def with_article_ids(batch: DataFrame) -> DataFrame:
-    """One row per address with article_id: a hash of the address, the same in every run.
+def with_article_ids(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """New addresses with article_id, numbered in the order in which they were published, then by address.
 
-    Of rows with one address the earliest stays, then the least source and title.
+    Of rows with one address the earliest stays, then the least source and title.  Numbers
+    go on behind the largest stored one, so a later run never comes before an earlier one.
     """
     first = F.min_by(F.struct(*batch.columns), F.struct("published_at", "source_name", "title"))
-    return batch.groupBy(F.pmod(F.xxhash64("article_url"), F.lit(1 << 62)).alias("article_id")).agg(first.alias("_first")).select(
-        "article_id", "_first.*")
+    rows = batch.groupBy("article_url").agg(first.alias("_first")).select("_first.*")
+    last = 0
+    if stored is not None:
+        rows = rows.join(stored.select("article_url").distinct(), "article_url", "left_anti").select(*batch.columns)
+        last = stored.agg(F.max("article_id")).first()[0] or 0
+    # Written, because finding the ranges looks at the rows a second time.
+    fresh = staged(rows, "new-addresses")
+    return numbered(fresh, ["published_at", "article_url"], "article_id", last).select("article_id", *batch.columns)
 
 
 def new_by_url(batch: DataFrame, stored: DataFrame | None = None, order_col: str = "article_id") -> DataFrame:
