@@ -35,6 +35,7 @@ from ..sources import store as ST
 from ..sources.actors import actor_dictionary, actor_names, missing_groups
 from ..sources.registry import source_registry, with_source
 from ..streaming import incremental as INC
+from ..streaming.state import current
 
 c = F.col
 
@@ -1170,7 +1171,7 @@ def x3_incremental_cluster(t):
     for part in (articles.filter(old), articles.filter(~old)):
         part.write.mode("append").parquet(landed)
         INC.start(INC.article_stream(t.spark, landed), out + "-checkpoint", sink=INC.cluster_sink(out)).awaitTermination()
-    return t.spark.read.option("recursiveFileLookup", True).parquet(out + "/links").select("article_id", "event_id")
+    return current(t.spark, out, "links").select("article_id", "event_id")
 
 
 @query

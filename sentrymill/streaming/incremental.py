@@ -13,10 +13,10 @@ from ..operators.attribute import attribute_events
 from ..operators.cluster import assign_clusters, cluster_key, link_articles, source_kind, with_keys
 from ..operators.merge import merge_events
 from ..operators.spread import staged
-from ..corpus import spread_small
 from ..plans.pipeline import process_and_extract
-from ..rules import registry as G
+from ..sources.actors import actor_dictionary
 from ..sources.landed import young
+from .state import BucketState
 
 FILE_SCHEMA = ("article_id bigint, source_name string, article_url string, title string, summary string, "
                "content string, published_at timestamp_ntz, fetched_at timestamp_ntz")
@@ -64,7 +64,7 @@ def update_sink(out_path: str):
 def extraction_sink(out_path: str):
     """foreachBatch function: verdicts and extraction of each batch, no state."""
     def write(batch: DataFrame, epoch: int) -> None:
-        _, extracted = process_and_extract(spread_small(batch))
+        _, extracted = process_and_extract(batch)
         extracted.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
     return write
 
@@ -101,17 +101,30 @@ def first_last_seen(stream: DataFrame, key_col: str, time_col: str) -> DataFrame
 
 
 # -- incremental clustering -------------------------------------------------------------------
+def key_facts(links: DataFrame) -> DataFrame:
+    """Per key and event whether it has incident and activity articles."""
+    kind = source_kind(F.col("signal_kind"))
+    keyed = links.withColumn("cluster_key", cluster_key(F.col("victim_org_name"), F.col("victim_org_normalized")))
+    return keyed.filter("cluster_key is not null").groupBy("cluster_key", "event_id").agg(
+        F.bool_or(kind == "incident").alias("inc"), F.bool_or(kind == "activity").alias("act"))
+
+
+def joined_facts(facts: DataFrame) -> DataFrame:
+    """Facts of several runs, one row per key and event."""
+    return facts.groupBy("cluster_key", "event_id").agg(F.bool_or("inc").alias("inc"), F.bool_or("act").alias("act"))
+
+
 def open_events(links: DataFrame) -> DataFrame:
+    """Events that further articles can join, built from links; see open_by_key."""
+    return open_by_key(key_facts(links))
+
+
+def open_by_key(facts: DataFrame) -> DataFrame:
     """Events that further articles can join: those with a key that are not activity.
 
-    Built from links, one row per event and key; an event of unregistered
-    sources only is open as kind none.
+    One row per key; an event of unregistered sources only is open as kind none.
     """
-    kind = source_kind(F.col("signal_kind"))
-    keyed = links.withColumn("cluster_key", cluster_key(F.col("victim_org_name"), F.col("victim_org_normalized")))
-    events = keyed.filter("cluster_key is not null").groupBy("cluster_key", "event_id").agg(
-        F.bool_or(kind == "incident").alias("inc"), F.bool_or(kind == "activity").alias("act"))
-    usable = events.filter("inc or not act").withColumn("kind", F.when(F.col("inc"), F.lit("incident")).otherwise(F.lit("none")))
+    usable = facts.filter("inc or not act").withColumn("kind", F.when(F.col("inc"), F.lit("incident")).otherwise(F.lit("none")))
     return usable.groupBy("cluster_key").agg(F.min(F.struct("event_id", "kind")).alias("e")).select(
         "cluster_key", "e.event_id", "e.kind")
 
@@ -153,26 +166,46 @@ def upsert_articles(articles: DataFrame, links: DataFrame, events: DataFrame, di
     return all_links, refreshed, outcome.select("article_id", "event_id", action.alias("event_action"))
 
 
-def cluster_sink(state_path: str):
-    """foreachBatch function: keeps links and event snapshots under one folder.
+KEY_FACTS = "cluster_key string, event_id bigint, inc boolean, act boolean"
+SEEN = "article_id bigint"
+# Neighbouring article ids share a bucket, so what has arrived lately is looked up in few of them.
+SEEN_RANGE = 100_000
+
+
+def cluster_sink(state_path: str, dictionary: DataFrame | None = None, buckets: int = 64):
+    """foreachBatch function: links, events and their actors as keyed state below one folder.
 
-    Each epoch writes its own folders, so a repeated epoch overwrites the same
-    result, and reads those of the epoch before.
+    The tables are links and events by event, open_keys by cluster key and seen by article.
+    An epoch reads the keys and events that its articles fall on, joins the articles to open
+    events, merges and attributes the touched events anew and rewrites their buckets.
     """
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        _, extracted = process_and_extract(spread_small(batch))
-        previous = None
-        if epoch > 0:
-            previous = spark.read.parquet(*[f"{state_path}/links/{e}" for e in range(epoch)])
-        attach_batch(extracted, previous).write.mode("overwrite").parquet(f"{state_path}/links/{epoch}")
-        new_links = spark.read.parquet(f"{state_path}/links/{epoch}")
-        if previous is None:
-            snapshot = merge_events(new_links)
-        else:
-            snapshot = refresh_touched(spark.read.parquet(f"{state_path}/events/{epoch - 1}"),
-                                       previous.unionByName(new_links), new_links)
-        snapshot.write.mode("overwrite").parquet(f"{state_path}/events/{epoch}")
+        c, spark = F.col, batch.sparkSession
+        state = BucketState(spark, state_path, epoch, buckets)
+        actors = dictionary if dictionary is not None else actor_dictionary(spark)
+        _, extracted = process_and_extract(batch)
+        group = F.floor(c("article_id") / SEEN_RANGE)
+        near = state.touched(extracted, group)
+        seen = state.read("seen", SEEN, near)
+        fresh = staged(extracted.join(seen, "article_id", "left_anti"), "fresh")
+        keys = with_keys(fresh)
+        at_keys = state.touched(keys.filter("cluster_key is not null"), c("cluster_key"))
+        facts = state.read("open_keys", KEY_FACTS, at_keys)
+        new_links = staged(link_articles(fresh, assign_clusters(keys, open_by_key(facts))), "new-links")
+        at_events = state.touched(new_links, c("event_id"))
+        links = staged(state.read("links", new_links.schema, at_events).unionByName(new_links), "links")
+        touched = new_links.select("event_id").distinct()
+        own = links.join(touched, "event_id", "left_semi")
+        empty = merge_events(links.limit(0)).schema
+        before = state.read("events", empty, at_events)
+        merged = staged(merge_events(own, before.join(touched, "event_id", "left_semi")), "merged")
+        attributed = attribute_events(merged, own, actors).select(*before.columns)
+        events = before.join(touched, "event_id", "left_anti").unionByName(attributed)
+        state.write("links", links, c("event_id"), at_events)
+        state.write("events", events, c("event_id"), at_events)
+        state.write("open_keys", joined_facts(facts.unionByName(key_facts(new_links))), c("cluster_key"), at_keys)
+        state.write("seen", seen.unionByName(fresh.select("article_id")), group, near)
+        state.commit()
     return write
 
 

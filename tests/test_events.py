@@ -10,6 +10,7 @@ from sentrymill.operators import serve as SV
 from sentrymill.plans import pipeline
 from sentrymill.sources.actors import actor_dictionary
 from sentrymill.streaming import incremental as INC
+from sentrymill.streaming.state import BucketState, current
 
 SF = "/root/testdata/sf0.001"
 NEWS, TRUSTED, ALERT, KEV, FILING = ("incident_news", False), ("incident_news", True), ("official_alert", False), ("exploited_vulnerability", False), ("primary_disclosure", True)
@@ -108,6 +109,41 @@ def test_upsert_equals_whole_run(spark, run):
     assert {r["event_action"] for r in outcome.collect()} == {"created", "merged", "irrelevant"}
 
 
+def test_cluster_stream_keeps_state_by_key(spark, run, tmp_path):
+    """Links, events and actors after several epochs equal runs over whole tables; an epoch rewrites its own buckets only."""
+    state = str(tmp_path / "state")
+    articles = corpus.articles(spark, SF).withColumn("fetched_at", F.col("published_at")).select(
+        "article_id", "source_name", "article_url", "title", "summary", "content", "published_at", "fetched_at")
+    dictionary, sink = actor_dictionary(spark), INC.cluster_sink(state, buckets=8)
+    first, second = articles.filter("article_id < 800"), articles.filter("article_id >= 800")
+    sink(first, 0)
+    one = pipeline.run(first)
+    columns = ["event_id", "source_count", "victim_org_name", "event_status", "actor_name", "actor_type", "attribution_status", "is_high_impact"]
+
+    def same(events):
+        got = current(spark, state, "events").select(columns)
+        return got.exceptAll(events.select(columns)).count() == 0 and got.count() == events.count()
+    assert same(one.events)
+    sink(second.unionByName(first.limit(50)), 7)  # a gap in the numbers, and articles that are known
+    sink(second.unionByName(first.limit(50)), 7)  # the same epoch once more
+    _, events, _ = INC.upsert_articles(second, one.links, one.events.drop("considered", "changed"), dictionary)
+    assert same(events) and current(spark, state, "events").filter("actor_name is not null").count() > 0
+    assert current(spark, state, "links").select("article_id", "event_id").exceptAll(run.links.select("article_id", "event_id")).count() == 0
+    assert current(spark, state, "links").count() == run.links.count()
+    # A single article that nothing else goes with: one bucket of events and links changes, the rest is neither read nor written.
+    at = datetime(1998, 7, 1)
+    lone = spark.createDataFrame([(9_000_001, "bleepingcomputer", "https://news.example.com/lone", "Zebrafish Ltd hit by ransomware attack",
+                                   "Hackers stole customer data.", None, at, at)], articles.schema)
+    before = BucketState(spark, state, 8, 8).slots
+    sink(lone, 8)
+    after = BucketState(spark, state, 9, 8).slots
+    changed = {k for k in after if after[k] != before.get(k)}
+    assert {n for n, _ in changed} == {"links", "events", "open_keys", "seen"} and len(changed) == 4
+    assert current(spark, state, "links").count() == run.links.count() + 1
+    sink(lone.limit(0), 9)
+    assert BucketState(spark, state, 10, 8).slots == after
+
+
 def test_cluster_stream_equals_batch(spark, run, tmp_path):
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
     articles = corpus.articles(spark, SF).withColumn("fetched_at", F.col("published_at")).select(
@@ -115,8 +151,8 @@ def test_cluster_stream_equals_batch(spark, run, tmp_path):
     for low, high in ((0, 800), (800, 2000)):
         articles.filter(F.col("article_id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(source)
     stream = INC.article_stream(spark, source, files_per_trigger=1)
-    INC.start(stream, str(tmp_path / "cp"), sink=INC.cluster_sink(state)).awaitTermination()
-    snapshot = spark.read.parquet(f"{state}/events/1")
+    INC.start(stream, str(tmp_path / "cp"), sink=INC.cluster_sink(state, buckets=8)).awaitTermination()
+    snapshot = current(spark, state, "events")
     assert snapshot.agg(F.sum("source_count")).first()[0] == run.links.count()
     keys = ["event_id", "source_count", "victim_org_name", "event_status"]
     assert snapshot.select(keys).exceptAll(run.events.select(keys)).count() == 0
