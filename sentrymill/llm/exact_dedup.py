@@ -65,6 +65,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that stay, with all their columns."""
     # By id and content: another row without an id, or another text with the same id, is no copy.
     gone = staged(exact_groups(docs, id_col, text_col).filter("NOT kept").select(
-        F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_digest")).distinct(), "exact_gone")
-    content = F.sha2(body(text_col).cast("binary"), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")) & (content == F.col("_digest")), "left_anti")
+        F.col(id_col).alias("id"), F.col("text_sha256").alias("digest")).distinct(), "exact_gone")
+    # Only rows whose id may go are shuffled, and every row travels as one struct, so no name can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), body(text_col).alias("text"))
+    flagged = passes(rows, gate(gone, ["id"]), ["id"])
+    doubtful = flagged.filter("_passes").select("row", "id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    same = doubtful["id"].eqNullSafe(gone["id"]) & (doubtful["digest"] == gone["digest"])
+    return flagged.filter("NOT _passes").select("row.*").union(doubtful.join(gone, same, "left_anti").select("row.*"))

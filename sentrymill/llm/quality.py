@@ -197,4 +197,5 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The verdict needs only the row and the weights, so texts are scanned twice and never shuffled.
     """
     weights = estimate(features(docs, id_col, text_col))
-    return with_features(docs, text_col).filter(verdict(weights, threshold, "_quality.")["kept"]).drop("_quality")
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))  # so that no name can clash
+    return with_features(rows).filter(verdict(weights, threshold, "_quality.")["kept"]).select("row.*")

@@ -30,10 +30,10 @@ from pyspark.sql import types as T
 from sentrymill.llm.common import body
 from sentrymill.llm.components import components
 from sentrymill.llm.similar_sets import near_dedup  # noqa: F401  the pipeline's stage, by its former name
+from sentrymill.llm.tiles import TILE, tile_units
 from sentrymill.operators.spread import staged
 
 SEED = 42
-TILE = 4096
 _SMALL, _BLOCK = 64, 512
 _ROWS_AT_ONCE = 1 << 15
 
@@ -168,33 +168,11 @@ def _groups(kind: Kind) -> Column:
                      for i in range(blocks)])
 
 
-def _units(rows: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Rows (unit, ones, fingerprint): each near pair of a group meets in at least one unit."""
-    width = max(radius, 1)
-    layer = F.floor(F.col("ones") / width).cast("int")
-    rows = rows.withColumn("layer", layer)
-    counted = rows.groupBy("group", "layer").count()
-    hot = staged(counted.groupBy("group").agg(
-        F.sum("count").alias("_rows"),  # at most 64 * width layers in a group
-        F.collect_list(F.struct("layer", F.ceil(F.col("count") / tile).cast("int").alias("parts"))).alias("tiles"))
-        .filter(F.col("_rows") > tile).select("group", "tiles"), "simhash_hot_groups")
-    joined = rows.join(hot, "group", "left")
-    own = F.get(F.filter("tiles", lambda t: t["layer"] == F.col("layer")), F.lit(0))["parts"]
-    me = F.struct(F.col("layer"), F.pmod(F.xxhash64("fingerprint"), own).cast("int").alias("part"))
-
-    def pairs(t: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), t["parts"] - 1), lambda q: F.xxhash64(
-            F.col("group"), F.least(me, F.struct(t["layer"].alias("layer"), q.alias("part"))),
-            F.greatest(me, F.struct(t["layer"].alias("layer"), q.alias("part")))))
-    near = F.filter("tiles", lambda t: F.abs(t["layer"] - F.col("layer")) <= 1)
-    units = F.when(F.col("tiles").isNull(), F.array(F.xxhash64("group"))).otherwise(F.flatten(F.transform(near, pairs)))
-    return joined.select(F.explode(units).alias("unit"), "ones", "fingerprint")
-
-
 def near_links(distinct: DataFrame, kind: Kind, tile: int = TILE) -> DataFrame:
     """Links (a, b) between distinct fingerprints that span all pairs within the radius."""
     rows = distinct.select("fingerprint", "ones", F.explode(_groups(kind)).alias("group"))
-    units = _units(rows, kind.radius, tile).repartition("unit").sortWithinPartitions("unit", "ones")
+    layered = rows.withColumn("layer", F.floor(F.col("ones") / max(kind.radius, 1)).cast("int"))
+    units = tile_units(layered, "fingerprint", tile).select("unit", "ones", "fingerprint").repartition("unit").sortWithinPartitions("unit", "ones")
 
     def linked(table: pa.Table) -> pa.RecordBatch:
         raw = table.column("fingerprint").combine_chunks()
