@@ -3,7 +3,8 @@
 The tree builder supplies implied tags and visibility; the renderer emits all
 visible text: blocks on lines of their own, blank lines around paragraphs and the
 like, list markers with nesting, line breaks and preformatted text as they are, and
-table cells in aligned columns.
+table cells in aligned columns.  The cascade decides what is visible (see `Styles`): an
+invisible element can hold visible ones, a later or more specific rule can show what another hides.
 
 Defined results: a null or empty page gives an empty text; a page of plain text gives
 that text; broken markup never raises; repeated rows are rendered each on its own;
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentrymill.llm.common import body
-from sentrymill.llm.html_tree import Node, build, is_hidden
+from sentrymill.llm.html_tree import Node, Styles, build
 
 # Blocks with a blank line before and after, and blocks that only start and end a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure hr xmp fieldset".split())
@@ -101,22 +102,23 @@ class Lines:
 
 
 class Renderer:
-    def __init__(self, selectors: set[str]):
-        self.selectors = selectors
+    def __init__(self, styles: Styles):
+        self.styles = styles
 
     def children(self, node: Node, out: Lines, raw: bool) -> None:
         for child in node.children:
-            if isinstance(child, str):
-                (out.raw if raw else out.text)(child)
-            else:
+            if not isinstance(child, str):
                 self.node(child, out, raw)
+            elif node.shown:
+                (out.raw if raw else out.text)(child)
 
     def node(self, node: Node, out: Lines, raw: bool = False) -> None:
         tag = node.tag
-        if is_hidden(node, self.selectors):
+        if self.styles.gone(node):
             return
         if tag == "br":
-            out.line(keep=True)
+            if node.shown:
+                out.line(keep=True)
         elif tag == "hr":
             out.space()
         elif tag == "table":
@@ -144,7 +146,7 @@ class Renderer:
             self.children(node, out, raw)
             ends()
         elif tag == "input":
-            if node.attributes.get("type", "").lower() in ("submit", "button", "reset"):
+            if node.shown and node.attributes.get("type", "").lower() in ("submit", "button", "reset"):
                 out.text(" " + node.attributes.get("value", "") + " ")
         elif tag in ("td", "th"):
             self.children(node, out, raw)
@@ -158,28 +160,32 @@ class Renderer:
         start = node.attributes.get("start", "").strip()
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
         for child in node.children:
-            if isinstance(child, Node) and child.tag == "li" and not is_hidden(child, self.selectors):
+            if isinstance(child, Node) and child.tag == "li" and not self.styles.gone(child):
                 value = child.attributes.get("value", "").strip()
                 number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number
                 marker = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
                 out.line()
+                if not child.shown:
+                    self.children(child, out, raw)  # what is visible in it, without a marker
+                    out.line()
+                    continue
                 out.indent.append(" " * len(marker))
                 before, out.marker = out.marker, out.marker + marker
                 self.children(child, out, raw)
                 out.line()
                 out.marker = "" if not out.marker.endswith(marker) else before
                 out.indent.pop()
-            elif isinstance(child, str):
-                out.text(child)
-            else:
+            elif not isinstance(child, str):
                 self.node(child, out, raw)
+            elif node.shown:
+                out.text(child)
         (out.line if inner else out.space)()
 
     def _rows(self, table: Node) -> tuple[list[Node], list[Node]]:
         rows, others = [], []
         for child in table.children:
-            if isinstance(child, Node) and not is_hidden(child, self.selectors):
+            if isinstance(child, Node) and not self.styles.gone(child):
                 if child.tag == "tr":
                     rows.append(child)
                 elif child.tag in ROWS:
@@ -200,7 +206,7 @@ class Renderer:
         for row in rows:
             line: list[list[str]] = []
             for cell in row.children:
-                if not isinstance(cell, Node) or is_hidden(cell, self.selectors):
+                if not isinstance(cell, Node) or self.styles.gone(cell):
                     continue
                 while held.get(len(line), 0):
                     held[len(line)] -= 1
@@ -232,9 +238,9 @@ class Renderer:
 
 def render(source: str) -> str:
     """The visible text of a page."""
-    root, selectors = build(source)
+    root, styles = build(source)
     out = Lines()
-    Renderer(selectors).children(root, out, False)
+    Renderer(styles).children(root, out, False)
     return "\n".join(out.finish())
 
 

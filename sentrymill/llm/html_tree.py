@@ -51,8 +51,13 @@ IN_HEAD = frozenset("base link meta noscript script style template title".split(
 _TAG = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"?|'[^']*+'?|[^\s>"'][^\s>]*+)?)?)*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
-_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
-_SHOWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)[^;]*?(!\s*important)?\s*(?=;|$)")
+# Values of display; one of them counts only if all its words are known.
+DISPLAYS = frozenset(
+    "none block inline inline-block flex inline-flex grid inline-grid flow flow-root list-item contents table inline-table table-row "
+    "table-cell table-caption table-column table-column-group table-header-group table-footer-group table-row-group ruby run-in "
+    "-webkit-box -webkit-inline-box -webkit-flex inherit initial unset revert revert-layer".split())
+VISIBILITIES = frozenset("visible hidden collapse inherit initial unset revert revert-layer".split())
+_COMPOUND = re.compile(r"(\*|[\w-]+)?((?:[.#][\w-]+)*)")
 _BRACE = re.compile(r"[{}]")
 _STRING = re.compile(r""""[^"\n]*"|'[^'\n]*'""")
 # Media of a page on a screen; blocks with other conditions are taken as not valid.
@@ -65,8 +70,9 @@ class Node:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)  # nodes and strings
-    outer: Node | None = None  # what it stands in on the page, if it became a sibling at MAX_DEPTH
-    gone: bool | None = None  # whether it is hidden, once worked out
+    outer: Node | None = None  # what it stands in on the page
+    gone: bool | None = None  # whether it and all in it has no place on the page, once worked out
+    shown: bool = True  # whether its own text is visible
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -102,61 +108,108 @@ def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
                 yield selectors, before
 
 
-def read_sheet(sheet: str, rules: dict[str, dict[str, tuple[bool, bool]]]) -> None:
-    """Adds what a sheet says of simple selectors: property, whether it hides, whether it is important; the last rule counts."""
-    lower = sheet.lower()
-    if "display" not in lower and "visibility" not in lower:
-        return
-    for selectors, rule in style_rules(sheet):
-        for name, value, important in _SHOWN.findall(rule.lower()):
-            for selector in selectors.split(","):
-                if re.fullmatch(r"[.#]?[\w-]+", selector := selector.strip()):
-                    held = rules.setdefault(selector, {})
-                    if important or not held.get(name, (False, False))[1]:
-                        held[name] = value in ("none", "hidden", "collapse"), bool(important)
-
-
-def hiding_selectors(rules: dict[str, dict[str, tuple[bool, bool]]]) -> set[str]:
-    """Simple selectors (`tag`, `.class`, `#id`) that style sheets hide and no later rule of theirs shows."""
-    return {s for s, held in rules.items() if any(hides for hides, _ in held.values())}
-
-
-def is_hidden(node: Node, selectors: set[str]) -> bool:
-    if node.outer is None:
-        return _hides(node, selectors)
-    chain = []
-    while node.gone is None:
-        chain.append(node)
-        if node.outer is None:
-            break
-        node = node.outer
-    gone = bool(node.gone)
-    for own in reversed(chain):
-        gone = own.gone = gone or _hides(own, selectors)
-    return gone
-
-
-def _hides(node: Node, selectors: set[str]) -> bool:
-    if node.tag in HIDDEN:
-        return True
-    own = node.attributes
-    if own:
-        if "hidden" in own or (node.tag == "input" and own.get("type", "").lower() == "hidden") or (
-                "style" in own and _GONE.search(own["style"].lower())):
-            return True
-    if node.tag == "dialog" and "open" not in own:
-        return True
-    return bool(selectors) and (node.tag in selectors or f"#{own.get('id')}" in selectors or any(
-        f".{c}" in selectors for c in own.get("class", "").split()))
+def declarations(rule: str) -> Iterator[tuple[str, str, bool]]:
+    """Valid declarations of display and visibility: property, value, whether it is important."""
+    for part in rule.lower().split(";"):
+        name, _, value = part.partition(":")
+        name = name.strip()
+        if name in ("display", "visibility"):
+            value, mark, word = value.partition("!")
+            words = value.split()
+            known = DISPLAYS if name == "display" else VISIBILITIES
+            if words and all(w in known for w in words) and (name == "display" or len(words) == 1) and (not mark or word.strip() == "important"):
+                yield name, " ".join(words), bool(mark)
+
+
+class Styles:
+    """What sheets and style attributes say of display and visibility.
+
+    Selectors are tags, classes and ids and what is compounded of them; others are passed over.  Important
+    declarations go before others, then style attributes before sheets, then the more specific selector, then the
+    later one.  Attributes like `hidden` count only where no declaration of display does.
+    """
+
+    def __init__(self) -> None:
+        # tag, class or id: (tag, ids, classes): property: (important, order, value)
+        self.rules: dict[str, dict[tuple, dict[str, tuple[bool, int, str]]]] = {}
+        self.count = 0
+
+    def read(self, sheet: str) -> None:
+        lower = sheet.lower()
+        if "display" not in lower and "visibility" not in lower:
+            return
+        for selectors, rule in style_rules(sheet):
+            for name, value, important in declarations(rule):
+                self.count += 1
+                for selector in selectors.split(","):
+                    found = _COMPOUND.fullmatch(selector.strip())
+                    if found and found.group():
+                        self._add(found.group(1), re.findall(r"[.#][\w-]+", found.group(2)), name, (important, self.count, value))
+
+    def _add(self, tag: str | None, parts: list[str], name: str, said: tuple[bool, int, str]) -> None:
+        tag = "" if tag in (None, "*") else tag.lower()
+        ids, classes = (tuple(sorted({p[1:] for p in parts if p[0] == sign})) for sign in "#.")
+        key = f"#{ids[-1]}" if ids else f".{classes[-1]}" if classes else tag
+        held = self.rules.setdefault(key, {}).setdefault((tag, ids, classes), {})
+        held[name] = max(held.get(name, said), said)
+
+    def _declared(self, node: Node) -> dict[str, str]:
+        """The declarations that count for an element itself."""
+        own, best = node.attributes, {}
+        if self.rules:
+            classes = set(own.get("class", "").split())
+            for key in (f"#{own['id']}" if "id" in own else None, *(f".{c}" for c in classes), node.tag, ""):
+                for (tag, ids, all_of), said in self.rules.get(key, {}).items():
+                    if (not tag or tag == node.tag) and all(i == own.get("id") for i in ids) and classes.issuperset(all_of):
+                        for name, (important, order, value) in said.items():
+                            rank = important, False, (len(ids), len(all_of), bool(tag)), order
+                            if name not in best or best[name][0] < rank:
+                                best[name] = rank, value
+        if "style" in own:
+            for order, (name, value, important) in enumerate(declarations(_STRING.sub("", _COMMENT.sub("", own["style"])))):
+                rank = important, True, (), order
+                if name not in best or best[name][0] < rank:
+                    best[name] = rank, value
+        return {name: value for name, (_, value) in best.items()}
+
+    def gone(self, node: Node) -> bool:
+        """Whether an element has no place on the page; then also sets `shown`."""
+        chain = []
+        while node.gone is None:
+            chain.append(node)
+            if node.outer is None:
+                break
+            node = node.outer
+        gone, shown = bool(node.gone), node.shown
+        for own in reversed(chain):
+            display, visibility = self._own(own)
+            shown = shown if visibility is None else visibility
+            gone = gone or not display
+            own.gone, own.shown = gone, shown
+        return gone
+
+    def _own(self, node: Node) -> tuple[bool, bool | None]:
+        """Whether an element by itself has a place, and whether its text is visible (None: as in its parent)."""
+        if node.tag in HIDDEN or (node.tag == "input" and node.attributes.get("type", "").lower() == "hidden"):
+            return False, None
+        declared = self._declared(node) if self.rules or node.attributes else {}
+        display, visibility = declared.get("display"), declared.get("visibility")
+        if display in (None, "revert", "revert-layer"):
+            place = "hidden" not in node.attributes and not (node.tag == "dialog" and "open" not in node.attributes)
+        else:
+            place = display != "none"
+        if visibility == "collapse" and node.tag in ("tr", "tbody", "thead", "tfoot"):
+            place = False
+        return place, {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(visibility)
 
 
 class Builder:
     """Open elements in `stack`, of any depth; the last one takes what comes."""
 
     def __init__(self) -> None:
-        self.root = Node("html")
+        self.root = Node("html", gone=False)  # pages that hide themselves until a script runs are shown
         self.stack = [self.root]
-        self.rules: dict[str, dict[str, tuple[bool, bool]]] = {}
+        self.styles = Styles()
         self.places: dict[str, list[int]] = {}  # where open elements of a tag stand in the stack
         self.barriers: list[int] = []
         self.blocks: list[int] = []
@@ -164,6 +217,8 @@ class Builder:
     def _take(self, child: Node | str) -> None:
         """Adds to the last open element; beyond MAX_DEPTH to what goes on with it after its last sibling."""
         top = self.stack[-1]
+        if isinstance(child, Node):
+            child.outer = top
         if len(self.stack) >= MAX_DEPTH:
             siblings = self.stack[MAX_DEPTH - 2].children
             if siblings[-1] is not top:
@@ -230,10 +285,10 @@ class Builder:
 
     def _open(self, node: Node) -> None:
         at = len(self.stack)
+        node.outer = self.stack[-1]
         if at < MAX_DEPTH:
             self.stack[-1].children.append(node)
         else:
-            node.outer = self.stack[-1]
             self.stack[MAX_DEPTH - 2].children.append(node)  # a sibling instead of a child
         self.stack.append(node)
         self.places.setdefault(node.tag, []).append(at)
@@ -262,8 +317,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "sub sup time tt u var".split())
 
 
-def build(source: str) -> tuple[Node, set[str]]:
-    """The tree of a page, and the simple selectors that its style sheets hide."""
+def build(source: str) -> tuple[Node, Styles]:
+    """The tree of a page, and what its style sheets say."""
     builder, at, size = Builder(), 0, len(source)
     lower = None
     while at < size:
@@ -291,11 +346,11 @@ def build(source: str) -> tuple[Node, set[str]]:
             data = source[at:stop]
             if tag == "style":
                 if on_screen(attributes(found.group(3)).get("media", "")):
-                    read_sheet(data, builder.rules)
+                    builder.styles.read(data)
             elif tag == "xmp" or tag == "textarea":
                 builder.text(data if tag == "xmp" else html.unescape(data))
             at = stop
-    return builder.root, hiding_selectors(builder.rules)
+    return builder.root, builder.styles
 
 
 def _find_end(source: str, tag: str, at: int) -> int:

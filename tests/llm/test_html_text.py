@@ -104,3 +104,57 @@ def test_text_beyond_the_greatest_depth_is_as_visible_as_above_it(depth, source,
     ("<a title = \"x>y\" b='>'>q</a>", "q"), ("<head><title>t</title>text<p>more", "text\n\nmore"), ("<head> <title>t</title> </head>x", "x")])
 def test_visible_text_is_not_lost(source, text):
     assert html_text.render(source) == text
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<p style='display:none;display:block'>a", "a"), ("<p style='display:none;display:nonsense'>no", ""),
+    ("<div style='visibility:hidden'>no <b style='visibility:visible'>b</b> no</div>", "b"),
+    ("<style>.a{display:none}</style><p class=a style='display:block'>a<p class=a>no", "a"),
+    ("<style>.a{display:none} p.a{display:block}</style><p class=a>a<div class=a>no", "a"),
+    ("<style>p.a{display:block} .a{display:none}</style><p class=a>a", "a"),
+    ("<style>#i{display:block} .a.b{display:none} .b{display:none}</style><p class='a b' id=i>a<p class='b a'>no", "a"),
+    ("<style>p{display:none !important}</style><p style='display:block'>no<p style='display:block !important'>a", "a"),
+    ("<style>*{visibility:hidden} b{visibility:visible}</style>x<p>no<b>b</b>", "x\n\nb"),
+    ("<p hidden style='display:block'>a<p hidden>no", "a"), ("<style>p{display:none}</style><p style='display:revert'>a", "a"),
+    ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>y<li><i style='visibility:visible'>z</i></ul>", "- y\nz"),
+    ("<table><tr><td style='visibility:hidden'>no<td>b<tr><td>ccc<td>d</table>", "     b\nccc  d"),
+    ("<div style='visibility:hidden'>" + "<div>" * 200 + "no<b style='visibility:visible'>b</b>", "b"),
+    ("<div style='display:none'><b style='display:block; visibility:visible'>no</b></div>", "")])
+def test_cascade(source, text):
+    assert html_text.render(source) == text
+
+
+VALUES = ["display:none", "display:block", "visibility:hidden", "visibility:visible", "display:none!important", "display:block !important",
+          "visibility:hidden !important", "display:wrong", "visibility:inherit"]
+SELECTORS = ["div", "b", ".x", ".y", ".x.y", "div.x", "b.y", "#k", "b#k", "div.x.y", "*"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(SELECTORS), st.sampled_from(VALUES)), max_size=6),
+       st.lists(st.tuples(st.sampled_from(["div", "b"]), st.sampled_from(["", "x", "y", "x y"]), st.booleans(), st.lists(st.sampled_from(VALUES), max_size=2),
+                          st.integers(0, 3)), max_size=8))
+def test_cascade_against_all_rules(sheet, nodes):
+    """Every element against every rule, with weights as one number."""
+    source, stack, want = "<style>" + " ".join(f"{s} {{{v}}}" for s, v in sheet) + "</style>", [], []
+    for n, (tag, classes, has_id, inline, up) in enumerate(nodes):
+        for _ in range(min(up, len(stack))):
+            source += f"</{stack.pop()[0]}>"
+        place, visible = stack[-1][1:] if stack else (True, True)
+        weights = {}
+        rules = [(s, v, 0) for s, v in sheet] + [("*", v, 1) for v in inline]
+        for order, (selector, value, is_inline) in enumerate(rules):
+            name = selector.replace(".", " .").replace("#", " #").split()
+            if any(not (p in ("*", tag) or (p[0] == "." and p[1:] in classes.split()) or (p == "#k" and has_id)) for p in name):
+                continue
+            prop, what = value.replace("!important", "").strip().split(":")
+            if what != "wrong":
+                weight = 10 ** 8 * ("!" in value) + 10 ** 7 * is_inline + 10 ** 5 * selector.count("#") + 10 ** 4 * selector.count(".") + 1000 * (
+                    not is_inline and name[0] in ("div", "b")) + order
+                weights[prop] = max(weights.get(prop, (-1, "")), (weight, what.strip()))
+        place = place and weights.get("display", (0, "block"))[1] != "none"
+        what = weights.get("visibility", (0, "inherit"))[1]
+        visible = visible if what == "inherit" else what == "visible"
+        stack.append((tag, place, visible))
+        source += f"<{tag} class='{classes}' {'id=k' if has_id else ''} style='{';'.join(inline)}'>w{n} "
+        want += [f"w{n}"] if place and visible else []
+    assert html_text.render(source).split() == want
