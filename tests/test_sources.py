@@ -151,3 +151,31 @@ def test_group_export(spark, tmp_path):
     assert [tuple(r) for r in got] == [("New  Group", ["NG"], "nation_state")]
     path = write(tmp_path / "d.json", dict(position=0, canonical="Solo", actor_type="hacktivist", aliases=["S O"]))
     assert {r["alias"] for r in actors.actor_names(actors.actor_dictionary(spark, path)).collect()} == {"Solo", "S O"}
+
+
+def test_articles_of_one_row_group_go_to_many_tasks(spark, tmp_path, monkeypatch):
+    """A file of more splits than cores, all rows in one row group."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from sentrymill import corpus
+    from sentrymill.operators import spread
+    from sentrymill.plans import pipeline
+    for name in ("orders", "customer", "nation"):
+        rows = pq.read_table(f"/root/testdata/sf0.01/{name}.parquet")
+        pq.write_table(rows, tmp_path / f"{name}.parquet", row_group_size=rows.num_rows)
+    monkeypatch.setattr(spread, "TASK_ROWS", 500)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        articles = corpus.articles(spark, str(tmp_path))
+        assert spark.read.parquet(f"{tmp_path}/orders.parquet").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    processed = spread.staged(pipeline.process(articles), "processed")
+    extracted = pipeline.extract(processed)
+    for rows in (articles, extracted):
+        per_task = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert max(per_task) < 800
+    assert articles.count() == pq.read_metadata(tmp_path / "orders.parquet").num_rows
