@@ -7,7 +7,6 @@ that the windows can reach, so a huge event stays a set of rows.
 
 from __future__ import annotations
 
-import math
 import uuid
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,16 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matching import any_substring, matches
+from ..functions.name_filter import PROBES, NameFilter, bits_for, name_marks
 from ..functions.name_trie import NameTrie
 from ..rules import actors as A
 from ..sources.actors import actor_names
 from .merge import final_high_impact
 from .spread import HOT_ROWS, join_unique, neighbour_text, staged
 
-# Names in one trie.  A longer dictionary is walked in several parts, so what a task
-# holds does not grow with the dictionary.
+# Names in one trie.  Of a longer dictionary tasks hold bitmaps of bounded size, and a text is still read once.
 PART_NAMES = 50_000
-HELD_PARTS = 8
+HELD_TRIES = 8
 
 
 def article_text(title: Column, summary: Column, content: Column) -> Column:
@@ -44,31 +43,57 @@ def alias_needs_context(alias: Column) -> Column:
 
 @dataclass
 class Names:
-    """Dictionary names, numbered within parts of bounded size, and the figures the scan has to know in advance."""
+    """Dictionary names and how texts are looked through for them, and the figures the scan has to know in advance.
+
+    parts: the names themselves under the key of their trie; or, of a long dictionary, bitmaps by number of units.
+    """
     table: DataFrame
-    parts: list[tuple[str, list[str]]]
+    parts: list[tuple[str, list[str]]] | list[tuple[int, bytes]]
     longest: int
+    filtered: bool = False
 
 
 def prepare_names(dictionary: DataFrame, part_names: int = PART_NAMES) -> Names:
-    """Names dealt by hash to parts of about `part_names`; a part is a list that goes to every task."""
+    """Up to `part_names` names are a list that goes to every task; of more, bitmaps of bounded size do."""
     names = actor_names(dictionary)
     stats = names.agg(F.count("*").alias("n"), F.max("alias_chars").alias("longest")).first()
-    n_parts = max(1, math.ceil(stats["n"] / part_names))
-    table = names.withColumn("part", F.pmod(F.xxhash64(F.lower("alias")), F.lit(n_parts)).cast("int"))
-    parts = []
-    for part in range(n_parts):
-        own = table.filter(F.col("part") == part).select(F.lower("alias").alias("name_key")).distinct()
-        parts.append((uuid.uuid4().hex, sorted(r[0] for r in own.collect() if r[0])))
-    return Names(table.withColumn("name_key", F.lower("alias")), parts, stats["longest"] or 0)
+    keyed, longest = names.withColumn("name_key", F.lower("alias")), stats["longest"] or 0
+    if stats["n"] <= part_names:
+        listed = keyed.select("name_key").distinct().collect()
+        return Names(keyed, [(uuid.uuid4().hex, sorted(r[0] for r in listed if r[0]))], longest)
+    return _filtered_names(keyed, longest)
+
+
+def _filtered_names(keyed: DataFrame, longest: int) -> Names:
+    c = F.col
+    two = "array<bigint>"
+
+    @F.pandas_udf(f"name_key string, units int, marks {two}, first {two}")
+    def marked(texts: pd.Series) -> pd.DataFrame:
+        keys, units, marks, first = name_marks(texts.fillna("").tolist())
+        return pd.DataFrame({"name_key": keys, "units": units, "marks": list(zip(*map(list, marks))), "first": list(zip(*map(list, first)))})
+
+    known = staged(keyed.withColumn("_m", marked("name_key")).drop("name_key").select("*", "_m.*").drop("_m").filter("units > 0"), "names")
+    runs = known.select("units", "marks").union(known.select(F.lit(0), "first")).distinct()
+    bits = {r["units"]: bits_for(r["n"]) for r in runs.groupBy("units").agg(F.count("*").alias("n")).collect()}
+    mask = F.element_at(F.create_map(*[F.lit(x) for n, b in bits.items() for x in (n, (1 << b) - 1)]), c("units"))
+    slots = F.array(*[F.shiftright(F.get("marks", F.lit(k)), shift).bitwiseAND(mask.cast("bigint")) for k, shift in PROBES])
+    rows = runs.select("units", F.explode(slots).alias("at")).select("units", (c("at") + 1).alias("slot"))
+    pieces = rows.groupBy("units", F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")).collect()  # at most 16 MB for each number of units
+    bitmaps = {n: bytearray((1 << b) // 8) for n, b in bits.items()}
+    for piece in pieces:
+        at = (piece["bucket"] - 1) * len(piece["bitmap"])
+        bitmaps[piece["units"]][at:at + len(piece["bitmap"])] = piece["bitmap"]
+    return Names(known.drop("units", "marks", "first"), [(n, bytes(b)) for n, b in sorted(bitmaps.items())], longest, True)
 
 
 _LISTS: dict[str, list[str]] = {}
 
 
-@lru_cache(maxsize=HELD_PARTS)
+@lru_cache(maxsize=HELD_TRIES)
 def _trie(key: str) -> NameTrie:
-    """One per worker and part; with more than HELD_PARTS parts they are built again, not held."""
+    """One per worker and dictionary."""
     return NameTrie(_LISTS[key])
 
 
@@ -82,35 +107,38 @@ def _part_trie(part: tuple[str, list[str]]) -> NameTrie:
 
 
 def mentions(text: Column, names: Names) -> Column:
-    """Whether a name occurs in the text or begins at its end and may go on in the next one."""
-    def one(part: tuple[str, list[str]]) -> Column:
-        @F.pandas_udf("boolean")
-        def test(texts: pd.Series) -> pd.Series:
-            found, _, _, unfinished = _part_trie(part).walk(texts.tolist())
-            unfinished[found] = True
-            return pd.Series(unfinished)
-        return test(text)
+    """Whether a name occurs in the text or begins at its end and may go on in the next one.
 
-    some = one(names.parts[0])
-    for part in names.parts[1:]:
-        some = some | one(part)
-    return some
+    Of a long dictionary it may be that none does.
+    """
+    parts, filtered = names.parts, names.filtered
+
+    @F.pandas_udf("boolean")
+    def test(texts: pd.Series) -> pd.Series:
+        walker = NameFilter(dict(parts)) if filtered else _part_trie(parts[0])
+        found, _, _, unfinished = walker.walk(texts.tolist())
+        unfinished[found] = True
+        return pd.Series(unfinished)
+    return test(text)
 
 
 def name_places(text: Column, names: Names) -> Column:
-    """Array of (at, name_key): where names begin, counted from 0."""
-    def one(part: tuple[str, list[str]]) -> Column:
-        @F.pandas_udf("array<struct<at:int,name_key:string>>")
-        def find(texts: pd.Series) -> pd.Series:
-            hits: list[list[dict]] = [[] for _ in range(len(texts))]
-            trie = _part_trie(part)
-            text_of, at, name, _ = trie.walk(texts.tolist())
-            for t, a, n in zip(text_of.tolist(), at.tolist(), name.tolist()):
-                hits[t].append({"at": a, "name_key": part[1][n]})
-            return pd.Series(hits)
-        return find(text)
+    """Array of (at, name_key): where names begin, counted from 0.
+
+    Of a long dictionary these are candidates; a join with the names by name_key leaves the names.
+    """
+    parts, filtered = names.parts, names.filtered
 
-    return F.concat(*[one(p) for p in names.parts]) if len(names.parts) > 1 else one(names.parts[0])
+    @F.pandas_udf("array<struct<at:int,name_key:string>>")
+    def find(texts: pd.Series) -> pd.Series:
+        hits: list[list[dict]] = [[] for _ in range(len(texts))]
+        walker = NameFilter(dict(parts)) if filtered else _part_trie(parts[0])
+        text_of, at, name, _ = walker.walk(texts.tolist())
+        keys = name if filtered else [parts[0][1][n] for n in name.tolist()]
+        for t, a, key in zip(text_of.tolist(), at.tolist(), keys):
+            hits[t].append({"at": a, "name_key": key})
+        return pd.Series(hits)
+    return find(text)
 
 
 def occurrences(docs: DataFrame, names: Names) -> DataFrame:
@@ -134,7 +162,7 @@ def occurrences(docs: DataFrame, names: Names) -> DataFrame:
         "around": F.substr(c("padded_text"), start + 1, c("hit.at") + reach - start), "place": c("hit.at") - start,
         "offset": c("hit.at") - c("own_start"), "name_key": c("hit.name_key"),
     }).drop("padded_text", "own_start", "own_chars", "hit")
-    return cut.join(names.table.drop("part"), "name_key").drop("name_key")
+    return cut.join(names.table, "name_key").drop("name_key")
 
 
 def window_text(before: int, after: int) -> Column:
