@@ -209,3 +209,15 @@ def near_groups(docs: DataFrame, kind: Kind = EXACT_RADIUS, id_col: str = "doc_i
     least = staged(classed.groupBy("_label").agg(F.min("_least").alias("component_id")), "simhash_components")
     by_print = staged(classed.join(least, "_label").select("fingerprint", "component_id"), "simhash_classes")
     return known.join(by_print, "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+def linked_texts(docs: DataFrame, kind: Kind = EXACT_RADIUS, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of ids, a > b, that join all rows whose fingerprints link; not every two of them."""
+    known = staged(fingerprints(docs, kind, id_col, text_col), "simhash_fingerprints")
+    distinct = staged(known.groupBy("fingerprint", "ones").agg(F.min(id_col).alias("_least")), "simhash_distinct")
+    least = distinct.select("fingerprint", "_least")
+    equal = known.join(least, "fingerprint").select(F.col(id_col).alias("a"), F.col("_least").alias("b"))
+    near = (near_links(distinct, kind, tile)
+            .join(least.select(F.col("fingerprint").alias("a"), F.col("_least").alias("_one")), "a")
+            .join(least.select(F.col("fingerprint").alias("b"), F.col("_least").alias("_two")), "b").select("_one", "_two"))
+    return equal.union(near).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

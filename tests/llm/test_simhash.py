@@ -99,3 +99,20 @@ def test_similar_documents_are_linked_and_others_are_not(spark):
     assert {i for i in kept if i < 1000} == set(range(60)) and {i for i in kept if i >= 2000} == set(range(2000, 2060))
     assert len([i for i in kept if 1000 <= i < 2000]) <= 2
     assert simhash.near_dedup(docs).columns == docs.columns
+
+
+def test_linked_texts_join_the_components(spark, tmp_path, monkeypatch):
+    """The pairs join what near_groups joins, and the pipeline's near-dedup stage asks for them."""
+    import corpus_pipeline
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    root = {r.doc_id: r.doc_id for r in docs.collect()}
+    for r in simhash.linked_texts(docs).collect():
+        a, b = root[r.a], root[r.b]
+        root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    want = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
+    assert root == want and len(set(want.values())) < len(want)
+    asked = []
+    real = simhash.linked_texts
+    monkeypatch.setattr(simhash, "linked_texts", lambda *a, **k: asked.append(1) or real(*a, **k))
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    assert asked and 0 < out.count() < docs.count()
