@@ -1,7 +1,9 @@
 import random
 import re
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sentrymill.operators import attribute as AT
 from sentrymill.rules import actors as A
@@ -66,3 +68,21 @@ def test_attribution_equals_search_over_joined_text(spark, n_ranges, hot):
             if hit:
                 want[event] = hit
         assert got == want and len(want) > 5
+
+
+def test_a_text_is_walked_once_for_what_it_mentions(spark, monkeypatch):
+    walked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("boolean")
+    def counted(texts: pd.Series) -> pd.Series:
+        walked.add(len(texts))
+        return texts.str.contains("LockBit")
+
+    monkeypatch.setattr(AT, "mentions", lambda text, names: counted(text))
+    linked = spark.range(200).selectExpr("id % 50 AS event_id", "id AS article_id", "'LockBit 3.0 claimed it' AS title",
+                                         "'s' AS summary", "CAST(NULL AS string) AS content")
+    events = spark.range(50).selectExpr("id AS event_id", "'incident' AS event_signal_type", "CAST(NULL AS string) AS victim_org_name",
+                                        "CAST(NULL AS string) AS actor_name")
+    dictionary = spark.createDataFrame([(0, *NAMES[0])], "position int, canonical string, actor_type string, aliases array<string>")
+    found, _ = AT.scanned_occurrences(events, linked, AT.prepare_names(dictionary))
+    assert found.select("article_id").distinct().count() == 200 and walked.value == 200
