@@ -116,3 +116,23 @@ def test_linked_texts_join_the_components(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(simhash, "linked_texts", lambda *a, **k: asked.append(1) or real(*a, **k))
     out = corpus_pipeline.near_copies(spark, docs, "")
     assert asked and 0 < out.count() < docs.count()
+
+
+def test_the_pipeline_drops_what_simhash_links(spark):
+    """Texts with near fingerprints and a Jaccard similarity below 0.8 over five-word shingles; op7 puts them into one component."""
+    import corpus_pipeline
+    from sentrymill.llm.similar_sets import token_sets
+    rng, rows = np.random.default_rng(5), []
+    for _ in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        other = list(words)
+        for at in range(10, 400, 36):
+            other[at] = f"v{at}"
+        bits, _ = simhash.fingerprints_of([" ".join(words), " ".join(other)], simhash.EXACT_RADIUS)
+        a, b = token_sets([" ".join(words).encode(), " ".join(other).encode()])
+        both = len(np.intersect1d(a, b))
+        if np.bitwise_count(bits[0] ^ bits[1]).sum() <= simhash.EXACT_RADIUS.radius and both < 0.8 * (len(a) + len(b) - both):
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows and {r.component_id for r in simhash.near_groups(docs).collect()} == {i for i, _ in rows[::2]}
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {i for i, _ in rows[::2]}
