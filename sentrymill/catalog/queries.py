@@ -69,6 +69,12 @@ class Tables:
     def extracted(self) -> DataFrame:
         return staged(pipeline.extract(self.decided), "extracted")
 
+    def extracted_where(self, kept: Column) -> DataFrame:
+        """Extraction rows of some articles; others are not extracted for it, unless the session has the whole table."""
+        if "extracted" in self.__dict__:
+            return self.extracted.filter(kept)
+        return pipeline.process_and_extract(self.articles.filter(kept))[1]
+
     @cached_property
     def linked(self) -> DataFrame:
         return staged(pipeline.link(self.extracted), "linked")
@@ -805,7 +811,7 @@ def m19_kept_actors(t):
 def c8_upsert(t):
     """Newer articles against links and events of the older ones."""
     old = c("published_at") < F.lit("1998-06-01").cast("timestamp_ntz")
-    links = staged(INC.attach_batch(t.extracted.filter(old), None), "c8-links")
+    links = staged(INC.attach_batch(t.extracted_where(old), None), "c8-links")
     events = staged(MG.merge_events(links), "c8-events")
     return INC.upsert_articles(t.articles.filter(~old), links, events, t.dictionary)[2]
 
